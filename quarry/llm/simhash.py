@@ -4,7 +4,8 @@ signatures: each document's distinct words and word pairs vote on the bits of a
 groups: equal signatures are merged first. Then several hash tables each group the signatures by
 sampled coordinates; the number of coordinates follows from the number of signatures, and a bucket
 beyond the cap is split by further sampled coordinates. All pairs within a bucket are compared, and those
-within the distance are linked; connected signatures form a group.
+within the distance are linked; connected signatures form a group. There are as many tables as it takes to find a pair at
+the largest distance with the wanted recall; nearer pairs are found more surely.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from quarry.llm.tokens import grams, mix, slices, tokenize
 BITS = 256
 #: Signatures at most so many bits apart are near duplicates. Unrelated documents are about 128 apart.
 DISTANCE = 40
-TABLES = 16
+#: Of pairs at just this distance, the part that some table puts into one bucket; nearer ones are surer still.
+RECALL = 0.95
 #: Signatures of a bucket beyond which further coordinates are sampled, and how many a bucket should have on average.
 CAP, TARGET = 2048, 512
 _SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
@@ -114,9 +116,16 @@ def _split(rows: np.ndarray, bits: np.ndarray, coordinates: np.ndarray, cap: int
         todo += [(rows[one], k + 1), (rows[~one], k + 1)]
 
 
-def links(sigs: DataFrame, count: int, distance: int = DISTANCE, tables: int = TABLES, cap: int = CAP, seed: int = 7) -> DataFrame:
-    """(a, b): edges between near signatures. sigs: id, s0..s3 with distinct signatures, count of them."""
+def plan(count: int, distance: int = DISTANCE, recall: float = RECALL) -> tuple[int, int]:
+    """Coordinates of a bucket, so that it has about TARGET of so many signatures, and tables, so that the recall is reached."""
     first = max(0, math.ceil(math.log2(max(1, count) / TARGET)))
+    agree = math.prod((BITS - distance - k) / (BITS - k) for k in range(first))
+    return first, 1 if agree >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - agree))
+
+
+def links(sigs: DataFrame, count: int, distance: int = DISTANCE, recall: float = RECALL, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """(a, b): edges between near signatures. sigs: id, s0..s3 with distinct signatures, count of them."""
+    first, tables = plan(count, distance, recall)
     chosen = [np.random.default_rng((seed, t)).permutation(BITS) for t in range(tables)]
 
     def key(t: int):
@@ -142,7 +151,7 @@ def links(sigs: DataFrame, count: int, distance: int = DISTANCE, tables: int = T
     return keyed.groupBy("t", "key").applyInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, tables: int = TABLES, cap: int = CAP) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, recall: float = RECALL, cap: int = CAP) -> DataFrame:
     """(group_id, doc_id, keep) of every document in a group of two or more; the one with the least id is kept and names the group.
 
     Null and empty texts and texts without a word are in no group, neither are rows whose id is null.
@@ -151,7 +160,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dist
     work = Workspace(docs.sparkSession, "simhash")
     sigs = work.store(signatures(docs, id_col, text_col), "signatures")
     merged = work.store(sigs.groupBy(*_WORDS).agg(F.min("id").alias("id")), "distinct")
-    near = work.store(links(merged, merged.count(), distance, tables, cap).distinct(), "near")
+    near = work.store(links(merged, merged.count(), distance, recall, cap).distinct(), "near")
     same = sigs.join(merged.withColumnRenamed("id", "least"), _WORDS).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     found = components(near.union(same), work)
     work.drop("near", "signatures", "distinct")

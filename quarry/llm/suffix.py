@@ -117,12 +117,12 @@ def _rerank(df: DataFrame, last: bool) -> DataFrame:
     """Sorts (r1, r2, doc, pos) and ranks equal pairs alike; unique ones drop out.
 
     Rows with one r1 are in one partition. A new rank is the old one plus the place among those of the old one, so the order
-    of all ranks follows that of the passages' first words. last: gives kept, whether the position is the first of its rank, and from, that document, instead.
+    of all ranks follows that of the passages' first words. last: gives the positions that aren't the first of their rank, and source, the document of the first, instead.
     """
 
     def run(batches):
         rest = None
-        names = ["doc", "pos", "kept", "source"] if last else ["doc", "pos", "rank"]
+        names = ["doc", "pos", "source"] if last else ["doc", "pos", "rank"]
 
         def ranked(table: pa.Table):
             r1, r2, doc, pos = (table.column(c).to_numpy() for c in ("r1", "r2", "doc", "pos"))
@@ -137,7 +137,8 @@ def _rerank(df: DataFrame, last: bool) -> DataFrame:
             sizes = np.add.reduceat((~copy).astype(np.int64), head)
             keep = (sizes[group] > 1) & ~copy
             if last:
-                return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep]), pa.array(~same[keep]), pa.array(doc[head[group]][keep])], names)
+                later = keep & same
+                return pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(pos[later]), pa.array(doc[head[group]][later])], names)
             old = np.maximum.accumulate(np.where(~same1, np.arange(n), 0))
             rank = r1 + head[group] - old
             return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep]), pa.array(rank[keep])], names)
@@ -153,7 +154,7 @@ def _rerank(df: DataFrame, last: bool) -> DataFrame:
         if rest is not None and (out := ranked(rest)) is not None:
             yield out
 
-    return df.mapInArrow(run, f"{_POSITION}, kept boolean, source long" if last else f"{_POSITION}, rank long")
+    return df.mapInArrow(run, f"{_POSITION}, source long" if last else f"{_POSITION}, rank long")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -203,30 +204,18 @@ def _pairs(ranks: DataFrame, step: int, n: int) -> DataFrame:
 
 
 def _merged(positions: DataFrame, words: int, n: int) -> DataFrame:
-    """Joins overlapping passages of a document. Words of a kept passage stay, so that one copy of each is left."""
-
-    def spans(doc: int, pos: np.ndarray, kept: np.ndarray, source: np.ndarray):
-        """Runs of words that are in a repeated passage and in no kept one."""
-        gone = pos[~kept]
-        if not len(gone):
-            return
-        edges = np.unique(np.concatenate([gone, gone + words, pos[kept], pos[kept] + words]))
-        depth = lambda p: np.searchsorted(p, edges, side="right") - np.searchsorted(p + words, edges, side="right")
-        cut = (depth(gone) > 0) & (depth(pos[kept]) == 0)
-        flip = np.flatnonzero(np.diff(np.concatenate([[False], cut, [False]]).astype(np.int8)))
-        for a, b in zip(edges[flip[::2]], edges[np.minimum(flip[1::2], len(edges) - 1)]):
-            inside = source[~kept][(gone < b) & (gone + words > a)]
-            yield doc, int(a), int(b), int(inside.min())
+    """Joins overlapping repeated passages of a document. Each of their words occurs earlier too, in the same context, so one copy of it stays."""
+
+    def merged(table: pa.Table):
+        doc, pos, source = (table.column(c).to_numpy() for c in ("doc", "pos", "source"))
+        pos = pos.astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + words)]))
+        tail = np.append(head[1:], len(doc)) - 1
+        columns = doc[head], pos[head], pos[tail] + words, np.minimum.reduceat(source, head)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "start", "stop", "source"])
 
     def run(batches):
         rest = None
-
-        def merged(table: pa.Table):
-            doc, pos, kept, source = (table.column(c).to_numpy(zero_copy_only=False) if c == "kept" else table.column(c).to_numpy() for c in ("doc", "pos", "kept", "source"))
-            heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            rows = [x for a, b in zip(heads, np.append(heads[1:], len(doc))) for x in spans(int(doc[a]), pos[a:b].astype(np.int64), kept[a:b].astype(bool), source[a:b])]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc", "start", "stop", "source"])
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table])
