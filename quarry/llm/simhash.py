@@ -22,8 +22,8 @@ from quarry.llm.shared import Workspace, without
 from quarry.llm.tokens import grams, mix, slices, tokenize
 
 BITS = 256
-#: Signatures at most so many bits apart are near duplicates. Unrelated documents are about 128 apart.
-DISTANCE = 40
+#: Signatures at most so many bits apart are near duplicates. Unrelated documents of one language are from 60 bits on apart, most about 120.
+DISTANCE = 50
 #: Of pairs at just this distance, the part that some table puts into one bucket; nearer ones are surer still.
 RECALL = 0.95
 #: Signatures of a bucket beyond which further coordinates are sampled, and how many a bucket should have on average.
