@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, packing, simhash, suffix, toxicity
+from quarry.llm import decontaminate, language, packing, simhash, suffix, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +30,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.shards(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
+    "op4_tokens": op4_tokens,
     "op3_decontaminate": op3_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op9_simhash": op9_simhash,
