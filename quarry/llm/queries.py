@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language, packing, simhash, suffix, toxicity, wavelet
+from quarry.llm import decontaminate, language, packing, simhash, suffix, topk, toxicity, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,14 +43,27 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op4_tokens": op4_tokens,
     "op3_decontaminate": op3_decontaminate,
     "op6_toxicity": op6_toxicity,
+    "op7_topk": op7_topk,
+    "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_suffix": op10_suffix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_topk": topk.oracle(),
+    "op8_warc": "SELECT page_id, url, html FROM pages",
+}
