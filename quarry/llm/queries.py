@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language, packing, simhash, suffix, topk, toxicity, warc, wavelet
+from quarry.llm import decontaminate, language, packing, simhash, suffix, template, topk, toxicity, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op4_tokens": op4_tokens,
     "op3_decontaminate": op3_decontaminate,
+    "op5_template": op5_template,
     "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
     "op8_warc": op8_warc,
