@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import Workspace, without
-from quarry.llm.tokens import slices, tokenize
+from quarry.llm.tokens import release, slices, tokenize
 
 #: Words of an exact phrase; a shorter item counts as a whole if it has FEWEST words.
 PHRASE, FEWEST = 13, 5
 #: A proximity match holds this share of an item's distinct words within so many times its length; items with fewer distinct words have none.
 SHARE, WIDTH, DISTINCT = 0.8, 1.5, 10
 #: Megabytes of text of a segment, and words of benchmark that are looked up at once; more are looked up block by block.
-SEGMENT, BLOCK = 8 << 20, 500_000
+SEGMENT, BLOCK = 4 << 20, 500_000
 
 _INDEX = "ids binary, ends binary, terms binary, heads binary, places binary"
 _MATCH = "doc long, item long, kind string, start long, stop long, words long"
@@ -66,8 +66,8 @@ class Segment:
     gaps: np.ndarray
 
     @classmethod
-    def of(cls, row: dict) -> Segment:
-        return cls(*(np.frombuffer(row[c], dtype=t) for c, t in (("ids", np.int64), ("ends", np.int64), ("terms", np.int64), ("heads", np.int32), ("places", np.int32))))
+    def of(cls, batch: pa.RecordBatch, row: int) -> Segment:
+        return cls(*(np.frombuffer(batch.column(c)[row].as_buffer(), dtype=t) for c, t in (("ids", np.int64), ("ends", np.int64), ("terms", np.int64), ("heads", np.int32), ("places", np.int32))))
 
     def lists(self, terms: np.ndarray) -> list[np.ndarray | None]:
         """The places of each term; None for a term that the segment doesn't have."""
@@ -216,8 +216,8 @@ def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, widt
     def run(batches):
         items = sent.value
         for batch in batches:
-            for row in batch.to_pylist():
-                part = Segment.of(row)
+            for row in range(batch.num_rows):
+                part = Segment.of(batch, row)
                 lists = part.lists(items.terms)
                 out = [(k, d, "phrase", s, e, e - s) for k, d, s, e in phrases(part, items, lists, phrase)]
                 out += [(k, d, "proximity", s, e, n) for k, d, s, e, n in proximities(part, items, lists, share, width)]
@@ -227,6 +227,7 @@ def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, widt
                     base = part.begin(doc)
                     columns = part.ids[doc], np.array(items.ids)[list(item)], pa.array(kind), np.array(start) - base, np.array(stop) - base, np.array(words, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "item", "kind", "start", "stop", "words"])
+            release()
 
     return stored.mapInArrow(run, _MATCH)
 

@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         model = sent.value
         names = np.array([*model.languages, None], dtype=object)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 best, top, accepted = model.decide(part.column("text"))
                 best = np.where(top > 0, best, len(names) - 1)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.where(accepted, names[best], UNKNOWN), pa.string()), pa.array(names[best], pa.string()), pa.array(top), pa.array(accepted)], [id_col, "language", "best", "confidence", "accepted"])

@@ -127,7 +127,7 @@ def _candidates(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "html"):
+            for part in slices(batch, "html", 4 << 20):
                 counts: dict[str, Counter] = {}
                 pages_: Counter = Counter()
                 for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
@@ -151,7 +151,7 @@ def _vectors(pages: DataFrame, candidates: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "html"):
+            for part in slices(batch, "html", 4 << 20):
                 totals: dict[str, dict] = {}
                 column = part.column("roles")
                 for k, (host, page, uid) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("uid").to_pylist())):
@@ -353,7 +353,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches):
         for batch in batches:
             cache: dict[str, tuple] = {}
-            for part in slices(batch, "html"):
+            for part in slices(batch, "html", 4 << 20):
                 column, out = part.column("roles"), []
                 for k, (id_, host, page) in enumerate(zip(part.column("id").to_pylist(), part.column("host").to_pylist(), part.column("html").to_pylist())):
                     if host not in cache:

@@ -9,12 +9,15 @@ A null row is an empty one: it has no token.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 _CHUNK = 1 << 18
+_LIBC = ctypes.CDLL(_NAME) if (_NAME := ctypes.util.find_library("c")) and "libc.so.6" in _NAME else None
 _POWERS = np.ones(1 << 12, dtype=np.uint64)
 _POWERS[1:] = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.multiply.accumulate(_POWERS)
@@ -146,11 +149,19 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
-    """Parts of a batch with about so many bytes of text each, at least one row."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
+    """Parts of a batch with about so many bytes of text each, at least one row. Memory that they took is given back at the end."""
     offsets = utf8(batch.column(column))[1]
     at = 0
     while at < len(offsets) - 1:
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield batch.slice(at, stop - at)
         at = stop
+    release()
+
+
+def release() -> None:
+    """Gives memory that isn't used back to the system: a Python worker lives on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
