@@ -12,7 +12,7 @@ and sorted by field and term in each, so that row groups without them are skippe
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,12 @@ from quarry.functions.text import STOP_WORDS, TOKENIZERS, is_valid, tokens
 from quarry.sources import resolve
 from quarry.storage import exists, new_folder, remove
 
-_TABLES = ("postings", "dictionary", "lengths", "stats")
+_TABLES = {
+    "postings": "field string, term string, doc_id long, tf int, first_pos int, dl int, bucket int",
+    "dictionary": "field string, term string, df long, bucket int",
+    "lengths": "field string, doc_id long, dl int",
+    "stats": "field string, num_docs long, avgdl double, num_terms long, num_postings long, num_tokens long",
+}
 
 
 def field_tokens(df: DataFrame, fields: Sequence[str], id_col: str = "doc_id", tokenizer: str = "space") -> DataFrame:
@@ -100,14 +105,14 @@ class SearchIndex:
         statistics(dictionary, lengths, self.fields).coalesce(1).write.parquet(f"{path}/stats")
         about = [(list(self.fields), self.tokenizer, list(self.stop_words), self.buckets)]
         self.spark.createDataFrame(about, "fields array<string>, tokenizer string, stop_words array<string>, buckets int").coalesce(1).write.parquet(f"{path}/about")
-        return replace(self.load(self.spark, path))
+        return self.load(self.spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SearchIndex:
         if not exists(spark, f"{path}/about"):
             raise RuntimeError(f"no index is in {path}")
         about = spark.read.parquet(f"{path}/about").first()
-        tables = [spark.read.parquet(f"{path}/{t}") for t in _TABLES]
+        tables = [spark.read.schema(schema).parquet(f"{path}/{t}") for t, schema in _TABLES.items()]
         return cls(spark, tuple(about["fields"]), about["tokenizer"], tuple(about["stop_words"]), *tables, about["buckets"], path)
 
     def stored(self) -> SearchIndex:
