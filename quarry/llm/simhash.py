@@ -3,7 +3,7 @@
 signatures: each document's distinct words and word pairs vote on the bits of a 256-bit signature.
 groups: equal signatures are merged first. Then several hash tables each group the signatures by
 sampled coordinates; the number of coordinates follows from the number of signatures, and a bucket
-beyond the cap is split by further sampled coordinates. All pairs within a bucket are compared, and those
+beyond the cap is split by further sampled coordinates, in several ways again. All pairs within a bucket are compared, and those
 within the distance are linked; connected signatures form a group. There are as many tables as it takes to find a pair at
 the largest distance with the wanted recall; nearer pairs are found more surely.
 """
@@ -104,16 +104,53 @@ def _linked(ids: np.ndarray, words: np.ndarray, distance: int) -> tuple[np.ndarr
     return ids[moved], ids[label[moved]]
 
 
-def _split(rows: np.ndarray, bits: np.ndarray, coordinates: np.ndarray, cap: int):
-    """Parts of a bucket of at most cap rows, by one more coordinate at a time. Rows that agree on all coordinates stay together."""
-    todo = [(rows, 0)]
-    while todo:
-        rows, k = todo.pop()
-        if len(rows) <= cap or k == len(coordinates):
-            yield rows
-            continue
-        one = bits[rows, coordinates[k]] == 1
-        todo += [(rows[one], k + 1), (rows[~one], k + 1)]
+def _reached(rows: np.ndarray, others: np.ndarray, distance: int, block: int = 512) -> np.ndarray:
+    """Which rows are within the distance of some of the others."""
+    out = np.zeros(len(rows), dtype=bool)
+    for a in range(0, len(rows), block):
+        for b in range(0, len(others), 8 * block):
+            far = np.zeros((len(rows[a : a + block]), len(others[b : b + 8 * block])), dtype=np.uint16)
+            for k in range(rows.shape[1]):
+                far += np.bitwise_count(rows[a : a + block, k, None] ^ others[None, b : b + 8 * block, k])
+            out[a : a + block] |= (far <= distance).any(axis=1)
+    return out
+
+
+def _bucket(ids: np.ndarray, words: np.ndarray, distance: int, recall: float, cap: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a bucket. Up to the cap all pairs are compared.
+
+    Beyond it, first the rows near to one row are linked and taken out while they are many: they are connected whatever their other
+    pairs are, so that only those that are left are compared with them, each. What is left above the cap is
+    sampled by additional coordinates, in so many tables as reach the recall.
+    """
+    edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while len(ids) > cap:
+        pivots = rng.choice(len(ids), 8, replace=False)
+        near = [np.bitwise_count(words ^ words[p]).sum(axis=1) <= distance for p in pivots]
+        most = max(near, key=np.count_nonzero)
+        if np.count_nonzero(most) < max(16, len(ids) // 64):
+            break
+        least = ids[most].min()
+        joined = most | False
+        joined[~most] = _reached(words[~most], words[most], distance)
+        edges.append((ids[most], np.full(np.count_nonzero(most), least)))
+        touched = joined & ~most
+        edges.append((ids[touched], np.full(np.count_nonzero(touched), least)))
+        ids, words = ids[~most], words[~most]
+    if len(ids) <= cap:
+        edges.append(_linked(ids, words, distance))
+    else:
+        more, tables = plan(len(ids), distance, recall)
+        bits = _unpacked(words)
+        for _ in range(tables):
+            chosen = rng.permutation(BITS)[:more]
+            key = np.packbits(bits[:, chosen], axis=1)
+            _, part = np.unique(key, axis=0, return_inverse=True)
+            order = np.argsort(part.ravel(), kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(part.ravel()[order])) + 1):
+                edges.append(_linked(ids[rows], words[rows], distance))
+    a, b = (np.concatenate(x) for x in zip(*edges))
+    return a[a != b], b[a != b]
 
 
 def plan(count: int, distance: int = DISTANCE, recall: float = RECALL) -> tuple[int, int]:
@@ -139,13 +176,8 @@ def links(sigs: DataFrame, count: int, distance: int = DISTANCE, recall: float =
         t = table.column("t")[0].as_py()
         ids = table.column("id").to_numpy()
         words = np.stack([table.column(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
-        ends = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        if len(ids) > cap:
-            bits = _unpacked(words)
-            ends += [_linked(ids[r], words[r], distance) for r in _split(np.arange(len(ids)), bits, chosen[t][first:], cap)]
-        else:
-            ends.append(_linked(ids, words, distance))
-        return pa.table({"a": np.concatenate([x for x, _ in ends]), "b": np.concatenate([y for _, y in ends])})
+        a, b = _bucket(ids, words, distance, recall, cap, np.random.default_rng((seed, tables + t)))
+        return pa.table({"a": a, "b": b})
 
     keyed = sigs.select("id", *_WORDS, F.explode(F.array(*(key(t) for t in range(tables)))).alias("at")).select("id", *_WORDS, "at.t", "at.key")
     return keyed.groupBy("t", "key").applyInArrow(run, "a long, b long")
