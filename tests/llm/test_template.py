@@ -1,0 +1,104 @@
+import random
+from collections import Counter
+
+from quarry.llm import template as T
+
+
+def page(rng, title, items, words, extra=False):
+    more = f'<div class="more"><h3>More:</h3><b>{rng.choice(words)}</b></div>' if extra else ""
+    rows = "".join(f'<li><span class="n">{i}</span> costs <em>{rng.choice(words)}</em></li>' for i in items)
+    return f"<html><head><title>{title}</title></head><body><h1>{title}</h1><ul>{rows}</ul>{more}<div id=foot>Copyright by {rng.choice(words)} &amp; Co</div></body></html>"
+
+
+def made(seed=1, n=24):
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(500)]
+    rows, truth = [], {}
+    for i in range(n):
+        title, items = " ".join(rng.sample(words, 3)), rng.sample(words, rng.randrange(1, 5))
+        rows.append((i, f"http://Shop.example:80/{i}", page(rng, title, items, words, i % 2 == 0)))
+        truth[i] = (title, items)
+    return rows, truth
+
+
+def test_slots(spark):
+    rows, truth = made()
+    got = T.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.host for r in got} == {"shop.example"}
+    by_slot = {}
+    for r in got:
+        by_slot.setdefault((r["class"], r.slot), {}).setdefault(r.page_id, []).append((r.repeat, r.text))
+    titles = [s for s, pages in by_slot.items() if all(pages.get(i) == [(0, truth[i][0])] for i in truth)]
+    assert len(titles) == 2  # title and h1
+    items = [s for s, pages in by_slot.items() if all([t for _, t in sorted(pages.get(i, []))] == truth[i][1] for i in truth)]
+    assert len(items) == 1
+    text = " ".join(r.text for r in got)
+    assert "Copyright" not in text and "costs" not in text and "<" not in text and "More:" not in text
+
+
+def plain_classes(pages):
+    """Classes of tokens by their whole occurrence vectors."""
+    counts = []
+    for html in pages:
+        tags, words = T.words_of(html)
+        own = Counter(tags)
+        for path, found in words.items():
+            for w, n in Counter(found).items():
+                own[(path, w)] += n
+        counts.append(own)
+    vectors = {}
+    for role in set().union(*counts):
+        vector = tuple(c[role] for c in counts)
+        on = sum(v > 0 for v in vector)
+        if on >= T.SUPPORT * len(pages) and on >= T.PAGES:
+            vectors.setdefault(vector, set()).add(role)
+    return {frozenset(v) for v in vectors.values() if len(v) >= T.SIZE}
+
+
+def test_classes_as_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rows, _ = made(2, 30)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select(F.lit("h").alias("host"), F.xxhash64("url", "html").alias("uid"), "html").repartition(4).cache()
+    vectors = T._vectors(df, T._candidates(df))
+    got = {}
+    for r in T._classes(df, vectors).collect():
+        got.setdefault(r["class"], set()).add((r.path & T._MASK, r.token))
+    assert {frozenset(v) for v in got.values()} == plain_classes([r[2] for r in rows])
+
+
+def test_order_and_nesting():
+    order = "1 <a>\x001 <b>"
+    assert T.valid([(1, None, order), (2, None, order), (1, 2, "0"), (2, 1, "-1")]) == [(1, order), (2, order)]
+    assert T.valid([(1, None, order), (1, None, "other")]) == []
+    assert T.valid([(1, None, order), (2, None, order), (1, 2, "0"), (1, 2, "1")]) == [(1, order)]
+    assert T.valid([(1, None, ""), (2, None, order)]) == [(2, order)]
+    a, b, c = ((0, x) for x in "abc")
+    known = {a: 1, b: 1, c: 2}
+    text = lambda x: " ".join(x)
+    assert T.layout(text("acbacb"), known) == ({1: (a, b), 2: (c,)}, {(1, 2): 0, (2, 1): -1})
+    assert T.layout(text("abba"), known)[0][1] is None
+    assert T.layout(text("acbcab"), known)[1][(1, 2)] is None
+
+
+def test_pages_without_a_template(spark):
+    rows = [(1, "http://one.example/", "<p>Alone &amp; <b>here</b>"), (2, None, "<i>no</i> address"), (3, "nothing", "text"), (4, "http://one.example/", None), (5, "http://one.example/", ""), (6, "http://one.example/", "<br>"), (None, "http://one.example/", "x"), (1, "http://one.example/", "<p>Alone &amp; <b>here</b>")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, class int")
+    got = sorted((r.page_id or 0, r.host, r["class"], r.repeat, r.slot, r.text) for r in T.extract(df).collect())
+    none = (None, None, None)
+    assert got == [(0, "one.example", *none, "x"), (1, "one.example", *none, "Alone & here"), (1, "one.example", *none, "Alone & here"), (2, "", *none, "no address"), (3, "", *none, "text")]
+    assert T.extract(df.limit(0)).count() == 0
+
+
+def test_repeated_pages_and_strange_markup(spark):
+    rows, _ = made(3, 8)
+    rows += [rows[0]] * 3 + [(90, "http://shop.example/x", "<a" * 200_000), (91, "http://shop.example/y", "<!-- never ends " + "x" * 1000), (92, "http://shop.example/z", "<script>if (a<b) x" + "<div>" * 3000)]
+    got = T.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id for r in got} >= set(range(8))
+
+
+def test_events():
+    got = [(t, w) for _, t, w in T.events('<UL Class="x y"><li>a<li>b</ul><script>1<2</script>c<br/>')]
+    assert got == [("<ul class=x y>", True), ("<li>", True), ("a", False), ("<li>", True), ("b", False), ("</ul>", True), ("<script>", True), ("1<2", True), ("</script>", True), ("c", False), ("<br>", True)]
+    paths = [p for p, t, _ in T.events("<ul><li>a<li>b</ul>c")]
+    assert paths[2] == paths[4] and paths[0] == paths[-1] == 0
