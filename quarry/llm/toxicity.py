@@ -29,8 +29,8 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown
 LEARN_TOXIC, LEARN_CLEAN = 2000, 6000
 #: The threshold where there are no labelled documents: one entry in 200 words.
 THRESHOLD = 0.005
-#: A learnt entry is so many times as frequent in toxic documents, by the lower bound of this many standard errors; it has at least so many contexts.
-LIFT, ERRORS, CONTEXTS = 4.0, 2.5, 6
+#: A learnt entry is so many times as frequent in toxic documents, and LIFT times by the lower bound of this many standard errors; it has at least so many contexts.
+PURE, LIFT, ERRORS, CONTEXTS = 20.0, 4.0, 2.0, 6
 PREFIX = range(4, 9)
 
 
@@ -176,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = context.select("toxic", F.explode(forms).alias("form")).groupBy("form").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     ratio = F.log((F.col("t") + 0.5) / totals[1][1]) - F.log((F.col("c") + 0.5) / totals[0][1])
     low = ratio - ERRORS * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    found = {r.form: r.low for r in counted.where(F.col("t") >= CONTEXTS).withColumn("low", low).where(F.col("low") >= float(np.log(LIFT))).select("form", "low").collect()}
+    found = {r.form: r.low for r in counted.where(F.col("t") >= CONTEXTS).withColumn("low", low).where((F.col("low") >= float(np.log(LIFT))) & (ratio >= float(np.log(PURE)))).select("form", "low").collect()}
     prefixes: dict[str, float] = {}
     top = float(np.log(LIFT)) * 2
     for x in sorted((x for x in found if not x.endswith(" ")), key=lambda x: (len(x), x)):
