@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import Workspace, if_small
-from quarry.llm.tokens import slices
+from quarry.llm.tokens import release, slices
 
 #: Tokens of a class, pages of a host that has a template, and the part of its pages that a class is on, at least.
 SIZE, PAGES, SUPPORT = 3, 4, 0.3
+#: Pages of a host that are brought to one place.
+TOGETHER = 2000
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z][^<>]*>", re.S | re.I)
 _TAG = re.compile(r"<([/!?]?)([a-zA-Z][^\s/>]*)")
 _NAMED = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -95,19 +97,18 @@ def events(page: str) -> Iterator[tuple[int, str, bool]]:
         yield path, page[at:], False
 
 
-def roles(page: str) -> Counter:
-    """How often each role occurs on a page; a role is a path and a token."""
-    out: Counter = Counter()
+def words_of(page: str) -> tuple[Counter, dict[int, list[str]]]:
+    """Tags and comments of a page, as (path, token) with their number, and the words that stand in each path."""
+    whole: list[tuple[int, str]] = []
     words: dict[int, list[str]] = {}
-    for path, token, whole in events(page):
-        if whole:
-            out[(path, token)] += 1
+    for path, token, one in events(page):
+        if one:
+            whole.append((path, token))
+        elif path in words:
+            words[path] += token.split()
         else:
-            words.setdefault(path, []).extend(token.split())
-    for path, own in words.items():
-        for word, n in Counter(own).items():
-            out[(path, word)] += n
-    return out
+            words[path] = token.split()
+    return Counter(whole), words
 
 
 def _scramble(x: int) -> int:
@@ -123,21 +124,35 @@ def _signed(x: int) -> int:
 
 
 def _candidates(pages: DataFrame) -> DataFrame:
-    """(host, path, token) that are on enough of the host's pages in some batch."""
+    """(host, path, token) that are on enough of the host's pages in some batch. Pages of a host are brought together, those of a host with many in several places."""
+    counts = pages.groupBy("host").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).where("parts > 1")
+    placed = pages.join(if_small(counts), "host", "left").withColumn("part", F.pmod("uid", F.coalesce("parts", F.lit(1))))
+    together = placed.select("host", "part", "html").repartition("host", "part").sortWithinPartitions("host", "part")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "html", 4 << 20):
-                counts: dict[str, Counter] = {}
+            for part in slices(batch, "html", 8 << 20):
+                whole: dict[str, Counter] = {}
+                words: dict[str, dict[int, Counter]] = {}
                 pages_: Counter = Counter()
                 for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    counts.setdefault(host, Counter()).update(roles(page).keys())
+                    tags, texts = words_of(page)
+                    whole.setdefault(host, Counter()).update(tags.keys())
+                    own = words.setdefault(host, {})
+                    for path, found in texts.items():
+                        if path not in own:
+                            own[path] = Counter()
+                        own[path].update(set(found))
                     pages_[host] += 1
-                rows = [(host, _signed(path), token) for host, own in counts.items() for (path, token), n in own.items() if n >= SUPPORT * pages_[host]]
+                rows = []
+                for host, n in pages_.items():
+                    least = SUPPORT * n
+                    rows += [(host, _signed(path), token) for (path, token), k in whole[host].items() if k >= least]
+                    rows += [(host, _signed(path), token) for path, own in words[host].items() for token, k in own.items() if k >= least]
                 hosts, paths, tokens = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(tokens, pa.string())], ["host", "path", "token"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path long, token string").distinct()
+    return together.select("host", "html").mapInArrow(run, "host string, path long, token string").distinct()
 
 
 def _with(pages: DataFrame, packed: DataFrame) -> DataFrame:
@@ -151,23 +166,32 @@ def _vectors(pages: DataFrame, candidates: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "html", 4 << 20):
-                totals: dict[str, dict] = {}
-                column = part.column("roles")
-                for k, (host, page, uid) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("uid").to_pylist())):
-                    if host not in totals:
-                        totals[host] = {(r["path"] & _MASK, r["token"]): [0, 0, 0] for r in column[k].as_py()}
-                    own = totals[host]
-                    for role, n in roles(page).items():
-                        if role in own:
-                            total = own[role]
-                            total[0] += 1
-                            h = _scramble(uid + n * 0x9E3779B97F4A7C15)
-                            total[1] += h >> 33
-                            total[2] += h & 0x7FFFFFFF
-                rows = [(host, _signed(path), token, *sums) for host, own in totals.items() for (path, token), sums in own.items() if sums[0]]
-                columns = zip(*rows) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "path", "token", "pages", "high", "low"])
+            totals: dict[str, dict[int, dict[str, list[int]]]] = {}
+            column = batch.column("roles")
+            for k, (host, page, uid) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("uid").to_pylist())):
+                if host not in totals:
+                    known: dict[int, dict[str, list[int]]] = {}
+                    for r in column[k].as_py():
+                        known.setdefault(r["path"] & _MASK, {})[r["token"]] = [0, 0, 0]
+                    totals[host] = known
+                own = totals[host]
+                tags, texts = words_of(page)
+                counts: dict[int, Counter] = {path: Counter(words) for path, words in texts.items() if path in own}
+                for (path, token), n in tags.items():
+                    if path in own:
+                        counts.setdefault(path, Counter())[token] += n
+                for path, found in counts.items():
+                    wanted = own[path]
+                    for token in wanted.keys() & found.keys():
+                        h = _scramble(uid + found[token] * 0x9E3779B97F4A7C15)
+                        total = wanted[token]
+                        total[0] += 1
+                        total[1] += h >> 33
+                        total[2] += h & 0x7FFFFFFF
+            rows = [(host, _signed(path), token, *sums) for host, own in totals.items() for path, wanted in own.items() for token, sums in wanted.items() if sums[0]]
+            columns = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "path", "token", "pages", "high", "low"])
+            release()
 
     rows = _with(pages.select("host", "html", "uid"), packed).mapInArrow(run, "host string, path long, token string, pages long, high long, low long")
     # each part has 31 bits, so that the sums of two thousand million pages fit
