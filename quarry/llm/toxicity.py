@@ -54,7 +54,7 @@ def _fold_table() -> np.ndarray:
     like = {
         "аạɑα": "a", "ЬƄв": "b", "сϲⅽς": "c", "ԁɗ": "d", "еєҽε": "e", "ƒ": "f", "ɡց": "g", "һհн": "h", "іıɩιї": "i", "јϳ": "j", "кκ": "k", "ⅼӏ": "l", "мⅿ": "m", "пոη": "n", "оοσօ": "o", "рρ": "p",
         "ԛզ": "q", "гг": "r", "ѕꜱ": "s", "тτ": "t", "υսц": "u", "νѵⅴ": "v", "ѡԝω": "w", "хχ×": "x", "уүγ": "y", "ᴢ": "z",
-        "0": "o", "1|!": "i", "3": "e", "4@": "a", "5$": "s", "7": "t",
+        "0": "o", "1|!": "i", "3": "e", "4@": "a", "5$": "s", "7": "t", "8": "b",
     }
     for shapes, letter in like.items():
         for x in {*shapes, *shapes.upper()}:
@@ -70,24 +70,29 @@ def _fold_table() -> np.ndarray:
 
 
 _FOLD = _fold_table()
+#: Signs that can be letters: within a word; at its end, too, but for the first two; three of one kind are none.
 _SIGNS = np.array([ord(x) for x in "!|@$"], dtype=np.uint32)
 
 
 def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The folded texts one after another as code points, each begun and ended by a blank, and where they begin."""
     raw = np.frombuffer("".join(f"\n{x}\n" for x in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    ends = np.cumsum([len(x) + 2 for x in texts], dtype=np.int64)
+    stops = np.cumsum([len(x) + 2 for x in texts], dtype=np.int64)
     out = np.where(raw < 1 << 16, _FOLD[np.minimum(raw, (1 << 16) - 1)], raw)
-    at = np.flatnonzero(np.isin(raw, _SIGNS))  # a sign is a letter only before a letter or digit
-    after = raw[np.minimum(at + 1, len(raw) - 1)]
-    out[at[(_FOLD[np.minimum(after, 65535)] == _BLANK) | np.isin(after, _SIGNS[:2])]] = _BLANK
+    at = np.flatnonzero(np.isin(raw, _SIGNS))  # signs between lines are at neither end, for each text begins and ends with a line end
+    if len(at):
+        run = np.cumsum(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (raw[at[1:]] != raw[at[:-1]])])) - 1
+        size, first, last = np.bincount(run)[run], at[np.searchsorted(run, run)], at[np.searchsorted(run, run, side="right") - 1]
+        word = lambda x: (_FOLD[np.minimum(raw[x], 65535)] != _BLANK) & ~np.isin(raw[x], _SIGNS)
+        ends = np.isin(raw[at], _SIGNS[:2])
+        out[at[(size > 2) | ~(word(last + 1) | ~ends & word(first - 1))]] = _BLANK
     blank = out == _BLANK
     keep = out != 0
-    first = np.zeros(len(raw), dtype=bool)
-    first[ends[:-1]] = True
-    first[:1] = True
-    keep[1:] &= ~(blank[1:] & blank[:-1]) | first[1:]
-    starts = np.concatenate([[0], ends])
+    head = np.zeros(len(raw), dtype=bool)
+    head[stops[:-1]] = True
+    head[:1] = True
+    keep[1:] &= ~(blank[1:] & blank[:-1]) | head[1:]
+    starts = np.concatenate([[0], stops])
     total = np.concatenate([[0], np.cumsum(keep)])
     return out[keep], total[starts]
 
