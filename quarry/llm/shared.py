@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once in an application, so that it need not be installed there."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    home, place = Path(__file__).resolve().parents[1], Path(tempfile.mkdtemp(prefix="package-"))
+    shutil.copytree(home, place / "copy" / home.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(place / home.name), "zip", place / "copy"))
+    atexit.register(shutil.rmtree, place, True)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, as in tests on one machine, a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -34,6 +50,7 @@ class Workspace:
     """Tables of one run. They outlive lost executors; what is no longer needed is dropped at once, the rest when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.path = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
