@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ K1, B, K, DIGITS = 1.2, 0.4, 10, 4
 #: Weights below that of a term in a hundredth of all documents, or below this part of the query's mean, admit no document.
 RARE, MEAN, PHRASE = 7.643856189774724, 0.4, 0.75
 SEEDS = 1000
+#: Distinct query terms up to which the index is asked for them by name.
+LOOKUP = 2000
+
+Send = Callable[[DataFrame], DataFrame]
 
 
 def queries_of(spark: SparkSession, query: str | Mapping[str, str] | None, fields: Sequence[str], boosts: Sequence[float] | Mapping[str, float] | None = None) -> DataFrame:
@@ -55,11 +60,25 @@ def terms_of(queries: DataFrame, index: SearchIndex) -> DataFrame:
     return exploded.select("query_id", "field", "boost", "term", (F.row_number().over(order) - 1).alias("q_idx"), F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int").alias("bucket"))
 
 
-def _known(queries: DataFrame, index: SearchIndex) -> DataFrame:
-    """Query terms that are in the dictionary, with their document frequency and the field's statistics. Others drop out."""
+def _narrowed(asked: DataFrame, index: SearchIndex) -> tuple[SearchIndex, Send]:
+    """The index without what the query terms can't need, and how a table of query terms is sent to it.
+
+    Up to LOOKUP terms are literals: their buckets are the only folders read, row groups without them are skipped, and where the
+    index isn't saved they are filtered before anything is counted.
+    """
+    rows = asked.select("bucket", "term").distinct().limit(LOOKUP + 1).collect()
+    if len(rows) > LOOKUP:
+        return index, broadcast_if_small
+    wanted = F.col("bucket").isin(sorted({r["bucket"] for r in rows})) & F.col("term").isin(sorted({r["term"] for r in rows}))
+    return replace(index, postings=index.postings.where(wanted), dictionary=index.dictionary.where(wanted)), F.broadcast
+
+
+def _known(queries: DataFrame, index: SearchIndex) -> tuple[DataFrame, SearchIndex, Send]:
+    """Query terms that are in the dictionary, with their document frequency and the field's statistics; others drop out. With what _narrowed() gives."""
     asked = terms_of(queries, index)
-    found = index.dictionary.join(broadcast_if_small(asked), ["bucket", "field", "term"])
-    return found.join(F.broadcast(index.stats.select("field", "num_docs", "avgdl")), "field")
+    index, send = _narrowed(asked, index)
+    found = index.dictionary.join(send(asked), ["bucket", "field", "term"])
+    return found.join(F.broadcast(index.stats.select("field", "num_docs", "avgdl")), "field"), index, send
 
 
 def _folded(known: DataFrame) -> DataFrame:
@@ -85,11 +104,11 @@ def top(scores: DataFrame, k: int | None) -> DataFrame:
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "rank", "doc_id", "score")
 
 
-def _scored(terms: DataFrame, index: SearchIndex, k1: float, b: float) -> DataFrame:
+def _scored(terms: DataFrame, index: SearchIndex, send: Send, k1: float, b: float) -> DataFrame:
     """(query_id, doc_id, part) for every posting of the terms."""
     weight = F.col("boost") * F.col("qtf") * idf(F.col("num_docs"), F.col("df"))
     asked = terms.select("query_id", "bucket", "field", "term", weight.alias("weight"), "avgdl")
-    found = index.postings.join(broadcast_if_small(asked), ["bucket", "field", "term"])
+    found = index.postings.join(send(asked), ["bucket", "field", "term"])
     return found.select("query_id", "doc_id", (F.col("weight") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("part"))
 
 
@@ -103,14 +122,15 @@ def bm25(index: SearchIndex, queries: DataFrame, k: int | None = K, k1: float =
     A term counts as often as it is asked. max_df leaves out terms in more documents; with relax, a query of which none is left
     keeps its rarest ones.
     """
-    terms = _folded(_known(queries, index))
+    known, index, send = _known(queries, index)
+    terms = _folded(known)
     if max_df is not None:
         if relax:
             least = F.min("df").over(Window.partitionBy("query_id"))
             terms = terms.withColumn("least", least).where((F.col("df") <= max_df) | (F.col("least") > max_df) & (F.col("df") == F.col("least"))).drop("least")
         else:
             terms = terms.where(F.col("df") <= max_df)
-    return top(_summed(_scored(terms, index, k1, b)), k)
+    return top(_summed(_scored(terms, index, send, k1, b)), k)
 
 
 def seeded_postings(postings: DataFrame, limit: int = SEEDS) -> DataFrame:
@@ -126,17 +146,18 @@ def candidates(index: SearchIndex, queries: DataFrame, threshold: float, k: int
     max_df holds for the rarer terms only.
     """
     limit = F.floor(F.lit(float(threshold)) * F.col("num_docs")) if threshold <= 1 else F.lit(int(threshold))
-    terms = _folded(_known(queries, index)).withColumn("high", F.col("df") > limit)
+    known, index, send = _known(queries, index)
+    terms = _folded(known).withColumn("high", F.col("df") > limit)
     low = terms.where(~F.col("high"))
     if max_df is not None:
         low = low.where(F.col("df") <= max_df)
-    low_parts = _scored(low, index, k1, b)
+    low_parts = _scored(low, index, send, k1, b)
     by_low = low_parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
     high = terms.where("high")
-    high_parts = _scored(high, index, k1, b)
-    without_low = high.join(broadcast_if_small(low.select("query_id").distinct()), "query_id", "left_anti")
+    high_parts = _scored(high, index, send, k1, b)
+    without_low = high.join(send(low.select("query_id").distinct()), "query_id", "left_anti")
     rarest = without_low.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "q_idx"))).where("place = 1")
-    seed_postings = index.postings.join(broadcast_if_small(rarest.select("query_id", "bucket", "field", "term")), ["bucket", "field", "term"])
+    seed_postings = index.postings.join(send(rarest.select("query_id", "bucket", "field", "term")), ["bucket", "field", "term"])
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("tf"), F.desc("doc_id")))
     by_seed = seed_postings.withColumn("place", best).where(F.col("place") <= seeds).select("query_id", "doc_id")
     found = by_low.union(by_seed.withColumn("part", F.lit(0.0)))
@@ -151,12 +172,13 @@ def idf_phrase(index: SearchIndex, queries: DataFrame, k: int | None = K) -> Dat
     earlier ones matched is lost, every later match adds its weight, and PHRASE of it more if the word stands just after
     the word matched before and the token before in the query was of the same field.
     """
-    known = _known(queries, index).withColumn("weight", F.col("boost") * (1 + F.log2(F.col("num_docs") / F.col("df"))))
+    known, index, send = _known(queries, index)
+    known = known.withColumn("weight", F.col("boost") * (1 + F.log2(F.col("num_docs") / F.col("df"))))
     query = Window.partitionBy("query_id")
     ordered = query.orderBy("q_idx")
     gated = known.withColumn("total", F.sum("weight").over(query)).withColumn("n", F.count("*").over(query)).withColumn("before", F.lag("field").over(ordered))
     gated = gated.select("query_id", "bucket", "field", "term", "q_idx", "weight", ((F.col("weight") < RARE) | (F.col("weight") < MEAN * F.col("total") / F.col("n"))).alias("high"), F.coalesce(F.col("before") == F.col("field"), F.lit(False)).alias("same"))
-    found = index.postings.join(broadcast_if_small(gated), ["bucket", "field", "term"]).select("query_id", "doc_id", "q_idx", "weight", "high", "same", "first_pos")
+    found = index.postings.join(send(gated), ["bucket", "field", "term"]).select("query_id", "doc_id", "q_idx", "weight", "high", "same", "first_pos")
     document = Window.partitionBy("query_id", "doc_id")
     entered = found.withColumn("enter", F.min(F.when(~F.col("high"), F.col("q_idx"))).over(document)).where(F.col("q_idx") >= F.col("enter"))
     follows = F.col("same") & (F.col("first_pos") == F.lag("first_pos").over(document.orderBy("q_idx")) + 1)
