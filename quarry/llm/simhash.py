@@ -27,7 +27,7 @@ DISTANCE = 50
 #: Of pairs at just this distance, the part that some table puts into one bucket; nearer ones are surer still.
 RECALL = 0.95
 #: Signatures of a bucket beyond which further coordinates are sampled, and how many a bucket should have on average.
-CAP, TARGET = 2048, 512
+CAP, TARGET = 8192, 2048
 _SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 _WORDS = [f"s{k}" for k in range(BITS // 64)]
 
@@ -68,17 +68,20 @@ def _unpacked(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
 
 
-def near_pairs(words: np.ndarray, distance: int = DISTANCE, block: int = 512):
-    """Pairs i < j of signatures within the distance, every pair compared; in blocks of rows."""
-    n = len(words)
+def near_pairs(words: np.ndarray, distance: int = DISTANCE, block: int = 256):
+    """Pairs i < j of signatures within the distance, every pair compared, in blocks of rows; by half of the words first, which leaves few."""
+    n, half = len(words), words.shape[1] // 2
+    columns = [np.ascontiguousarray(words[:, k]) for k in range(words.shape[1])]
     for a in range(0, n, block):
-        rows = words[a : a + block]
-        far = np.zeros((len(rows), n - a), dtype=np.uint16)
-        for k in range(words.shape[1]):
-            far += np.bitwise_count(rows[:, k, None] ^ words[None, a:, k])
+        far = np.bitwise_count(columns[0][a : a + block, None] ^ columns[0][None, a:])
+        for c in columns[1:half]:
+            far += np.bitwise_count(c[a : a + block, None] ^ c[None, a:])
         i, j = np.nonzero(far <= distance)
         keep = i < j
-        yield i[keep] + a, j[keep] + a
+        i, j = i[keep] + a, j[keep] + a
+        exact = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.uint16) for c in columns)
+        near = exact <= distance
+        yield i[near], j[near]
 
 
 def _linked(ids: np.ndarray, words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
