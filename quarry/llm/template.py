@@ -27,7 +27,7 @@ from quarry.llm.tokens import release, slices
 #: Tokens of a class, pages of a host that has a template, and the part of its pages that a class is on, at least.
 SIZE, PAGES, SUPPORT = 3, 4, 0.3
 #: Pages of a host that are brought to one place.
-TOGETHER = 2000
+TOGETHER = 500
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z][^<>]*>", re.S | re.I)
 _TAG = re.compile(r"<([/!?]?)([a-zA-Z][^\s/>]*)")
 _NAMED = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -127,7 +127,7 @@ def _candidates(pages: DataFrame) -> DataFrame:
     """(host, path, token) that are on enough of the host's pages in some batch. Pages of a host are brought together, those of a host with many in several places."""
     counts = pages.groupBy("host").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).where("parts > 1")
     placed = pages.join(if_small(counts), "host", "left").withColumn("part", F.pmod("uid", F.coalesce("parts", F.lit(1))))
-    together = placed.select("host", "part", "html").repartition("host", "part").sortWithinPartitions("host", "part")
+    together = placed.select("host", "part", "html").hint("rebalance", F.col("host"), F.col("part")).sortWithinPartitions("host", "part")
 
     def run(batches):
         for batch in batches:
