@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import io
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +20,19 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once in an application, so that it need not be installed there."""
+    """Sends this package to the executors by the shared folder, once in an application, so that it need not be installed there."""
     if spark.sparkContext.applicationId in _shipped:
         return
-    home, place = Path(__file__).resolve().parents[1], Path(tempfile.mkdtemp(prefix="package-"))
-    shutil.copytree(home, place / "copy" / home.name, ignore=shutil.ignore_patterns("__pycache__"))
-    spark.sparkContext.addPyFile(shutil.make_archive(str(place / home.name), "zip", place / "copy"))
-    atexit.register(shutil.rmtree, place, True)
+    home, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, file.relative_to(home.parent))
+    path = f"{folder(spark)}/{home.name}-{uuid.uuid4().hex}.zip"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    spark.sparkContext.addPyFile(path)
     _shipped.add(spark.sparkContext.applicationId)
 
 
