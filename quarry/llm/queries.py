@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, language, packing, simhash, suffix, template, topk, toxicity, warc, wavelet
 from quarry.llm.shared import ship
+from quarry.storage import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

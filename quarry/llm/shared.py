@@ -33,6 +33,7 @@ def ship(spark: SparkSession) -> None:
     stream.write(bytearray(packed.getvalue()))
     stream.close()
     spark.sparkContext.addPyFile(path)
+    atexit.register(_gone, spark, path)
     _shipped.add(spark.sparkContext.applicationId)
 
 
@@ -53,19 +54,20 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _gone(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # the session has ended before
+        pass
+
+
 class Workspace:
     """Tables of one run. They outlive lost executors; what is no longer needed is dropped at once, the rest when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark, self.path = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._close)
-
-    def _close(self) -> None:
-        try:
-            delete(self.spark, self.path)
-        except Exception:  # the session has ended before
-            pass
+        atexit.register(_gone, spark, self.path)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
