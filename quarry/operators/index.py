@@ -37,7 +37,8 @@ def field_tokens(df: DataFrame, fields: Sequence[str], id_col: str = "doc_id", t
 
 def occurrences(parts: DataFrame) -> DataFrame:
     """(field, doc_id, dl, pos, term) of field_tokens(), positions counted from 0."""
-    return parts.select("field", "doc_id", F.size("toks").alias("dl"), F.posexplode("toks").alias("pos", "term"))
+    sized = parts.select("field", "doc_id", F.size("toks").alias("dl"), "toks")  # first, or each token would carry the array along
+    return sized.select("field", "doc_id", "dl", F.posexplode("toks").alias("pos", "term"))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -86,7 +87,9 @@ class SearchIndex:
             raise ValueError(f"tokenizers are {', '.join(TOKENIZERS)}")
         spark, fields, stop = df.sparkSession, resolve(df, fields), stop_list(stop_words)
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        parts = field_tokens(df, fields, id_col, tokenizer)
+        # by document: the texts are shuffled, which are smaller than what is counted in them, and counting needs no other shuffle
+        placed = df.select(F.col(id_col).cast("long").alias("doc_id"), *fields).repartition("doc_id")
+        parts = field_tokens(placed, fields, "doc_id", tokenizer)
         postings = counted(indexed(occurrences(parts), stop)).withColumn("bucket", bucket(buckets))
         return cls(spark, tuple(fields), tokenizer, tuple(stop), postings, *_derived(postings, parts.select("field", "doc_id", F.size("toks").alias("dl")), buckets), buckets)
 

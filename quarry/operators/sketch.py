@@ -51,15 +51,11 @@ def overlap(docs: DataFrame, asked: DataFrame, boosts: dict[str, float] | None =
 
 
 def sign_words(vector: Column, dim: int) -> list[Column]:
-    """The signs of a vector's elements, 32 in an integer."""
-    bit = lambda i: F.when(F.coalesce(F.get(vector, F.lit(i)), F.lit(0.0)) > 0, F.lit(1 << (i % WORD)).cast("long")).otherwise(F.lit(0).cast("long"))
-    words = []
-    for w in range(-(-dim // WORD)):
-        total = bit(w * WORD)
-        for i in range(w * WORD + 1, min(dim, (w + 1) * WORD)):
-            total = total + bit(i)
-        words.append(total)
-    return words
+    """The signs of a vector's elements, 32 in an integer. A loop over the array keeps the code of the join that follows small enough to be compiled."""
+    powers = F.array(*(F.lit(1 << i).cast("long") for i in range(WORD)))
+    zero = F.lit(0).cast("long")
+    bits = lambda w: F.zip_with(F.slice(vector, w * WORD + 1, min(WORD, dim - w * WORD)), powers, lambda x, p: F.when(x > 0, p).otherwise(zero))
+    return [F.aggregate(bits(w), zero, lambda s, x: s + x) for w in range(-(-dim // WORD))]
 
 
 def nearest(vectors: DataFrame, asked: DataFrame, dim: int, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:

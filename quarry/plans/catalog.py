@@ -12,7 +12,7 @@ from quarry.functions import text
 from quarry.operators import codec, complete, rank, sketch
 from quarry.operators.index import SearchIndex, field_tokens, statistics
 from quarry.plans import sql
-from quarry.storage import new_folder
+from quarry.storage import new_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sources.read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are much work each."""
+    return spread(table(spark, sf_dir, name))
+
+
 def query(oracle: str | None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -70,7 +75,7 @@ _BATCH = sql.asked_table("benchmark", "item_id", ["text"])
 
 
 def _tokenized(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:
-    parts = field_tokens(table(spark, sf_dir, "documents"), ["text"], tokenizer=tokenizer)
+    parts = field_tokens(wide(spark, sf_dir, "documents"), ["text"], tokenizer=tokenizer)
     return parts.select("doc_id", F.size("toks").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("toks"), " ")).alias("digest"))
 
 
@@ -374,12 +379,12 @@ def _sketch_sql(source: str, key: str) -> str:
 
 @query(_sketch_sql("documents", "doc_id"))
 def sketch_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.documents(table(spark, sf_dir, "documents"), ["text"]).select("doc_id", "word", "bits")
+    return sketch.documents(wide(spark, sf_dir, "documents"), ["text"]).select("doc_id", "word", "bits")
 
 
 @query(f"WITH d AS ({_sketch_sql('documents', 'doc_id')}), q AS ({_sketch_sql('benchmark', 'item_id')}) SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT q.item_id AS query_id, d.doc_id, sum(8 * bit_count(d.bits & q.bits)::BIGINT)::DOUBLE AS score FROM d JOIN q USING (word) GROUP BY ALL) WHERE score > 0) WHERE rank <= 10")
 def sketch_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sketch.documents(table(spark, sf_dir, "documents"), ["text"])
+    docs = sketch.documents(wide(spark, sf_dir, "documents"), ["text"])
     return sketch.overlap(docs, sketch.queries(table(spark, sf_dir, "benchmark"), "item_id"))
 
 
@@ -388,7 +393,7 @@ SELECT query_id, rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTI
   SELECT q.vec_id AS query_id, v.vec_id, bit_count(xor(q.words[1], v.words[1]))::BIGINT + bit_count(xor(q.words[2], v.words[2]))::BIGINT AS distance FROM s q, s v)) WHERE rank <= 10""")
 def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return sketch.nearest(vectors, vectors, 64)
+    return sketch.nearest(spread(vectors), vectors, 64)
 
 
 # ---- codecs
