@@ -43,7 +43,7 @@ def test_reading(spark, folder):
     assert len(rows) == 7
     one = rows["http://a/1"]
     assert (one.http_status, bytes(one.payload), one.http_headers["x"]) == (200, b"<p>\r\n\r\nWARC/1.0\r\n", "a b")
-    assert one.headers["warc-type"] == "response" and one.content_length == 78 - 11 + len(b"") or one.content_length > 0
+    assert one.headers["warc-type"] == "response" and one.content_length == int(one.headers["content-length"]) > len(one.payload)
     assert rows["http://a/2"].http_status == 404 and bytes(rows["http://a/2"].payload) == b""
     assert rows["http://b/3"].content_length == 700_000 == len(rows["http://b/3"].payload)
     assert rows["http://b/4"].http_status is None and bytes(rows["http://b/4"].payload) == b"not http"
