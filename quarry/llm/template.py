@@ -5,8 +5,12 @@ of a host that occur equally often on every page, whose occurrence vectors over
 enough tokens on enough pages are valid if their tokens stand in one order on all pages and the repetitions of any two classes are
 apart or nested in one gap. The valid ones, nested, are the template; the text in the gaps between their tokens is the data.
 
-Occurrence vectors are never gathered: a vector is known by its number of pages and the sum of a hash of each page and count. Only tokens
-that are frequent in some batch are counted, for what is frequent among all pages is frequent in a batch at least.
+Enough pages are PAGES for a class that holds a tag, so that a layout is found however small a part of its host it is. A class
+without one must be on a share of the host's pages, too: fewer pages that have words in common are as well copies of a passage, which is data.
+
+Occurrence vectors are never gathered: a vector is known by its number of pages and the sum of a hash of each page and count. Tags are
+counted exactly. Of the other tokens only those are that are frequent in some batch, for what is frequent among all pages is frequent
+in a batch at least, or that have the vector of a tag, for what has it over all pages has it in each batch.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import Workspace, if_small
 from quarry.llm.tokens import release, slices
 
-#: Tokens of a class, pages of a host that has a template, and the part of its pages that a class is on, at least.
+#: Tokens of a class, pages that it is on, and the part of its host's pages that a class without a tag is on, at least.
 SIZE, PAGES, SUPPORT = 3, 4, 0.3
 #: Pages of a host that are brought to one place.
 TOGETHER = 500
@@ -123,36 +127,67 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _is_tag(token: str) -> bool:
+    """Whether a token that is no word is a tag, not a comment or the body of a script."""
+    return token.startswith("<") and not token.startswith("<!--")
+
+
 def _candidates(pages: DataFrame) -> DataFrame:
-    """(host, path, token) that are on enough of the host's pages in some batch. Pages of a host are brought together, those of a host with many in several places."""
-    counts = pages.groupBy("host").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).where("parts > 1")
-    placed = pages.join(if_small(counts), "host", "left").withColumn("part", F.pmod("uid", F.coalesce("parts", F.lit(1))))
-    together = placed.select("host", "part", "html").hint("rebalance", F.col("host"), F.col("part")).sortWithinPartitions("host", "part")
+    """(host, path, token) that can be in a class. Pages of a host are brought together, those of a host with many in several places."""
+    counts = pages.groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= PAGES)
+    placed = pages.join(if_small(counts), "host").withColumn("part", F.pmod("uid", F.ceil(F.col("of") / TOGETHER)))
+    together = placed.select("host", "part", "of", "uid", "html").hint("rebalance", F.col("host"), F.col("part")).sortWithinPartitions("host", "part")
+    half = (1 << 48) - 1
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "html", 8 << 20):
-                whole: dict[str, Counter] = {}
-                words: dict[str, dict[int, Counter]] = {}
+                # of each role the number of pages and the two sums of its vector here, in one number
+                tags: dict[str, dict[tuple[int, str], int]] = {}
+                words: dict[str, dict[int, dict[str, int]]] = {}
                 pages_: Counter = Counter()
-                for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    tags, texts = words_of(page)
-                    whole.setdefault(host, Counter()).update(tags.keys())
-                    own = words.setdefault(host, {})
+                of: dict[str, int] = {}
+                for host, page, uid, n in zip(*(part.column(c).to_pylist() for c in ("host", "html", "uid", "of"))):
+                    whole, texts = words_of(page)
+                    own, rest, marks = tags.setdefault(host, {}), words.setdefault(host, {}), {}
+
+                    def mark(k: int) -> int:
+                        if k not in marks:
+                            h = _scramble(uid + k * 0x9E3779B97F4A7C15)
+                            marks[k] = 1 << 96 | h >> 33 << 48 | h & 0x7FFFFFFF
+                        return marks[k]
+
+                    for (path, token), k in whole.items():
+                        if _is_tag(token):
+                            own[(path, token)] = own.get((path, token), 0) + mark(k)
+                        else:
+                            some = rest.setdefault(path, {})
+                            some[token] = some.get(token, 0) + mark(k)
                     for path, found in texts.items():
-                        if path not in own:
-                            own[path] = Counter()
-                        own[path].update(set(found))
+                        some = rest.setdefault(path, {})
+                        for token, k in Counter(found).items():
+                            some[token] = some.get(token, 0) + mark(k)
                     pages_[host] += 1
+                    of[host] = n
                 rows = []
                 for host, n in pages_.items():
-                    least = SUPPORT * n
-                    rows += [(host, _signed(path), token) for (path, token), k in whole[host].items() if k >= least]
-                    rows += [(host, _signed(path), token) for path, own in words[host].items() for token, k in own.items() if k >= least]
-                hosts, paths, tokens = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(tokens, pa.string())], ["host", "path", "token"])
-
-    return together.select("host", "html").mapInArrow(run, "host string, path long, token string").distinct()
+                    # a host that is here as a whole needs no other batch to tell which tags are on enough pages
+                    here = {role: x for role, x in tags[host].items() if n < of[host] or x >> 96 >= PAGES}
+                    vectors, least = set(here.values()), SUPPORT * n
+                    rows += [(host, _signed(path), token, True, x >> 96 >= least, x) for (path, token), x in here.items()]
+                    for path, some in words[host].items():
+                        rows += [(host, _signed(path), token, False, x >> 96 >= least, x) for token, x in some.items() if x >> 96 >= least or x in vectors]
+                hosts, paths, tokens, tag, often, x = zip(*rows) if rows else [()] * 6
+                sums = (pa.array([y >> shift & half for y in x], pa.int64()) for shift in (96, 48, 0))
+                columns = [pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(tokens, pa.string()), pa.array(tag, pa.bool_()), pa.array(often, pa.bool_()), *sums]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "path", "token", "tag", "often", "pages", "high", "low"])
+
+    rows = together.select("host", "html", "uid", "of").mapInArrow(run, "host string, path long, token string, tag boolean, often boolean, pages long, high long, low long")
+    roles = rows.groupBy("host", "path", "token").agg(F.max("tag").alias("tag"), F.max("often").alias("often"), *(F.sum(c).alias(c) for c in ("pages", "high", "low")))
+    # sums are whole for tags and for what has the vector of a tag; others, partly summed, can only make a group seem larger here
+    alike = Window.partitionBy("host", "pages", "high", "low")
+    seen = roles.withColumn("tags", F.max("tag").over(alike)).withColumn("size", F.count("*").over(alike))
+    return seen.where(F.expr(f"often or tags and size >= {SIZE} and pages >= {PAGES}")).select("host", "path", "token")
 
 
 def _with(pages: DataFrame, packed: DataFrame) -> DataFrame:
@@ -161,25 +196,28 @@ def _with(pages: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def _vectors(pages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(host, path, token, pages, vector): on how many pages a role is, and the sums that stand for its occurrence vector."""
+    """(host, path, token, tag, pages, vector): whether a role is a tag, on how many pages it is, and the sums that stand for its occurrence vector."""
     packed = candidates.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "token"))).alias("roles"))
 
     def run(batches):
         for batch in batches:
             totals: dict[str, dict[int, dict[str, list[int]]]] = {}
+            marked: dict[str, set[tuple[int, str]]] = {}
             column = batch.column("roles")
             for k, (host, page, uid) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("uid").to_pylist())):
                 if host not in totals:
                     known: dict[int, dict[str, list[int]]] = {}
                     for r in column[k].as_py():
                         known.setdefault(r["path"] & _MASK, {})[r["token"]] = [0, 0, 0]
-                    totals[host] = known
+                    totals[host], marked[host] = known, set()
                 own = totals[host]
                 tags, texts = words_of(page)
                 counts: dict[int, Counter] = {path: Counter(words) for path, words in texts.items() if path in own}
                 for (path, token), n in tags.items():
                     if path in own:
                         counts.setdefault(path, Counter())[token] += n
+                        if _is_tag(token):
+                            marked[host].add((path, token))
                 for path, found in counts.items():
                     wanted = own[path]
                     for token in wanted.keys() & found.keys():
@@ -188,22 +226,22 @@ def _vectors(pages: DataFrame, candidates: DataFrame) -> DataFrame:
                         total[0] += 1
                         total[1] += h >> 33
                         total[2] += h & 0x7FFFFFFF
-            rows = [(host, _signed(path), token, *sums) for host, own in totals.items() for path, wanted in own.items() for token, sums in wanted.items() if sums[0]]
-            columns = zip(*rows) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "path", "token", "pages", "high", "low"])
+            rows = [(host, _signed(path), token, (path, token) in marked[host], *sums) for host, own in totals.items() for path, wanted in own.items() for token, sums in wanted.items() if sums[0]]
+            columns = zip(*rows) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], ["host", "path", "token", "tag", "pages", "high", "low"])
             release()
 
-    rows = _with(pages.select("host", "html", "uid"), packed).mapInArrow(run, "host string, path long, token string, pages long, high long, low long")
+    rows = _with(pages.select("host", "html", "uid"), packed).mapInArrow(run, "host string, path long, token string, tag boolean, pages long, high long, low long")
     # each part has 31 bits, so that the sums of two thousand million pages fit
-    return rows.groupBy("host", "path", "token").agg(F.sum("pages").alias("pages"), F.struct(F.sum("high"), F.sum("low")).alias("vector"))
+    return rows.groupBy("host", "path", "token").agg(F.max("tag").alias("tag"), F.sum("pages").alias("pages"), F.struct(F.sum("high"), F.sum("low")).alias("vector"))
 
 
 def _classes(pages: DataFrame, vectors: DataFrame) -> DataFrame:
     """(host, class, path, token): tokens of the classes that are large and frequent enough, numbered in a host by falling number of pages."""
     count = pages.groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= PAGES)
-    frequent = vectors.join(if_small(count), "host").where((F.col("pages") >= SUPPORT * F.col("of")) & (F.col("pages") >= PAGES))
+    frequent = vectors.join(if_small(count), "host").where(F.col("pages") >= PAGES)
     own = Window.partitionBy("host", "pages", "vector")
-    large = frequent.withColumn("size", F.count("*").over(own)).where(F.col("size") >= SIZE)
+    large = frequent.withColumn("size", F.count("*").over(own)).withColumn("tags", F.max("tag").over(own)).where((F.col("size") >= SIZE) & (F.col("tags") | (F.col("pages") >= SUPPORT * F.col("of"))))
     number = F.dense_rank().over(Window.partitionBy("host").orderBy(F.desc("pages"), F.desc("size"), "vector"))
     return large.select("host", number.alias("class"), "path", "token")
 

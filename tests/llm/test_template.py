@@ -81,6 +81,43 @@ def test_order_and_nesting():
     assert T.layout(text("acbcab"), known)[1][(1, 2)] is None
 
 
+def sections(n, rare):
+    """Pages of one host: rare of a layout of its own, the others of four sections."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(5000)]
+    rows = []
+    for i in range(n):
+        kind = "rare" if i < rare else f"part{i % 4}"
+        values = rng.sample(words, 3)
+        body = "".join(f"{label}-{kind}: <b>{v}</b> " for label, v in zip(("Price", "Weight", "Maker"), values))
+        rows.append((i, f"http://mixed.example/{i}", f'<html><body><h1>{rng.choice(words)}</h1><div class="{kind}">{body}</div></body></html>', kind, values))
+    return rows
+
+
+def test_layouts_on_few_pages_of_a_host(spark, monkeypatch):
+    monkeypatch.setattr(T, "TOGETHER", 50)  # several places, so that no batch sees all pages
+    rows = sections(400, 5)
+    got = T.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(3)).collect()
+    text = {}
+    for r in got:
+        text.setdefault(r.page_id, []).append((r["class"], r.slot, r.text))
+    slots = {}
+    for i, _, _, kind, values in rows:
+        assert not any(":" in t for _, _, t in text[i])
+        at = [next((c, s) for c, s, t in text[i] if t == v) for v in values]
+        assert len(set(at)) == 3 and all(c is not None for c, _ in at)
+        slots.setdefault(kind, set()).add(tuple(at))
+    assert len(slots) == 5 and all(len(x) == 1 for x in slots.values())
+
+
+def test_copies_of_a_passage_are_data(spark):
+    rows, _ = made(5, 40)
+    passage = "seven rare words that are copied here"
+    rows = [(i, url, html.replace("</h1>", f"</h1><p>{passage if i % 8 == 0 else f'other{i}'}</p>")) for i, url, html in rows]
+    got = T.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sum(passage in r.text for r in got) == 5
+
+
 def test_pages_without_a_template(spark):
     rows = [(1, "http://one.example/", "<p>Alone &amp; <b>here</b>"), (2, None, "<i>no</i> address"), (3, "nothing", "text"), (4, "http://one.example/", None), (5, "http://one.example/", ""), (6, "http://one.example/", "<br>"), (None, "http://one.example/", "x"), (1, "http://one.example/", "<p>Alone &amp; <b>here</b>")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, class int")
