@@ -4,7 +4,8 @@ The index is partitioned by document: a segment holds, for some megabytes of tex
 stands. A benchmark item is looked up in a segment from its rarest term on: the places of that term, less its
 offset in the phrase, are intersected with the offset-adjusted places of the next rarer one, and so on, so that a
 frequent term is only searched for what is left. Exact phrases are runs of words, whatever signs and case they are written with;
-proximity matches are windows that hold most of an item's distinct words in any order.
+proximity matches are windows that hold most of an item's distinct words in any order. In scripts that are written without blanks
+each character is a word.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import Workspace, without
 from quarry.llm.tokens import release, slices, tokenize
 
-#: Words of an exact phrase; a shorter item counts as a whole if it has FEWEST words.
-PHRASE, FEWEST = 13, 5
+#: Words of an exact phrase; a shorter item counts as a whole if it has FEWEST words: whatever its length.
+PHRASE, FEWEST = 13, 1
 #: A proximity match holds this share of an item's distinct words within so many times its length; items with fewer distinct words have none.
 SHARE, WIDTH, DISTINCT = 0.8, 1.5, 10
 #: Megabytes of text of a segment, and words of benchmark that are looked up at once; more are looked up block by block.
@@ -40,7 +41,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segme
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", segment):
-                found = tokenize(part.column("text"))
+                found = tokenize(part.column("text"), scripts=True)
                 some = found.counts > 0
                 if not some.any():
                     continue
@@ -92,7 +93,7 @@ class Items:
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None]) -> Items:
-        found = tokenize(pa.array(texts, pa.string()))
+        found = tokenize(pa.array(texts, pa.string()), scripts=True)
         terms, number = np.unique(found.hashes.view(np.int64), return_inverse=True)
         return cls(list(ids), [number[a:b] for a, b in zip(found.bounds, found.bounds[1:])], terms)
 
@@ -187,10 +188,11 @@ def proximities(segment: Segment, items: Items, lists: list, share: float = SHAR
             yield from ((k, d, s, e, n) for s, e, n in own)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", phrase: int = PHRASE, share: float = SHARE, width: float = WIDTH, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", phrase: int = PHRASE, share: float = SHARE, width: float = WIDTH, block: int = BLOCK, segment: int = SEGMENT, fewest: int = FEWEST) -> DataFrame:
     """(doc_id, item_id, kind, start, stop, words): matches of benchmark items in documents, at words start to stop, counted from 0.
 
     kind is phrase for the longest runs of an item's words, proximity for windows with most of its distinct words.
+    Items of any length have phrases, an item of one word wherever the word stands; fewest asks for items of so many words.
     Null ids and null, empty or wordless texts on either side match nothing; repeated rows match each for itself, repeated items once; an empty table gives no row.
     Other columns aren't looked at.
     """
@@ -201,7 +203,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = items.withColumn("n", F.length("text") + 1)
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-int(total) // (6 * block)))  # of about so many words each; each goes to every task by itself
-    found = [work.store(_lookup(stored, items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b), phrase, share, width), f"found-{b}") for b in range(blocks)]
+    found = [work.store(_lookup(stored, items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b), phrase, share, width, fewest), f"found-{b}") for b in range(blocks)]
     work.drop("index")
     out = found[0]
     for x in found[1:]:
@@ -209,7 +211,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "kind", "start", "stop", "words")
 
 
-def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, width: float) -> DataFrame:
+def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, width: float, fewest: int) -> DataFrame:
     rows = items.select("item", "text").toPandas().sort_values(["item", "text"])
     sent = stored.sparkSession.sparkContext.broadcast(Items.of(rows["item"].tolist(), rows["text"].tolist()))
 
@@ -219,7 +221,7 @@ def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, widt
             for row in range(batch.num_rows):
                 part = Segment.of(batch, row)
                 lists = part.lists(items.terms)
-                out = [(k, d, "phrase", s, e, e - s) for k, d, s, e in phrases(part, items, lists, phrase)]
+                out = [(k, d, "phrase", s, e, e - s) for k, d, s, e in phrases(part, items, lists, phrase, fewest)]
                 out += [(k, d, "proximity", s, e, n) for k, d, s, e, n in proximities(part, items, lists, share, width)]
                 if out:
                     item, doc, kind, start, stop, words = zip(*out)
@@ -233,7 +235,10 @@ def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, widt
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those that a benchmark item matches; the others stay with all their columns, also those without an id or a text."""
+    """The documents without those that a benchmark item matches; the others stay with all their columns, also those without an id or a text.
+
+    Options are those of matches(): where items are so short that they stand in texts by chance, fewest keeps these texts.
+    """
     work = Workspace(docs.sparkSession, "decontaminate-drop")
     gone = work.store(matches(docs, benchmark, id_col, text_col, **options).select(id_col).distinct(), "gone")
     return without(docs, gone, id_col)

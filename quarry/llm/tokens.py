@@ -5,12 +5,16 @@ character from U+00C0 on, but for U+2000..U+206F and U+3000..U+303F. Upper case
 and for U+00C0..U+00DE, so that byte offsets of the folded and of the given text agree. Tokens are
 represented by a 64-bit hash of their folded bytes and by their byte range in their own row.
 A null row is an empty one: it has no token.
+
+On demand, scripts that are written without blanks (Chinese, Japanese, Thai and the like) are split by character, and signs of
+theirs and fullwidth signs are no word characters.
 """
 
 from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +32,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _script_table() -> np.ndarray:
+    """For each code point up to U+FFFF 1 if it is a word by itself, 2 if it ends words, else 0."""
+    table = np.zeros(1 << 16, dtype=np.uint8)
+    blocks = ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x1AB0), (0x2E80, 0x2FE0), (0x3040, 0x3130), (0x31A0, 0x4DC0), (0x4E00, 0xA000), (0xA9E0, 0xAA80), (0xF900, 0xFB00), (0xFF66, 0xFFA0))
+    for low, high in blocks:
+        table[low:high] = 1
+    for low, high in (*blocks, (0xFE10, 0xFE20), (0xFE30, 0xFE70), (0xFF00, 0xFFF0)):
+        for c in range(low, high):
+            if unicodedata.category(chr(c))[0] in "PSZ":
+                table[c] = 2
+    return table
+
+
+_SCRIPTS = _script_table()
+
+
 @dataclass
 class Tokens:
     """Tokens of a column: those of row i are bounds[i] to bounds[i + 1]; start and end are bytes in the row."""
@@ -84,6 +104,21 @@ def word_mask(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word, low
 
 
+def _alone(raw: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Bytes at which a word begins because the character there, or the one before, is a word by itself; signs are taken from the mask."""
+    at = np.flatnonzero(raw >= 0xE0)
+    three, four = at[raw[at] < 0xF0], at[raw[at] >= 0xF0]
+    code = (raw[three].astype(np.int64) & 15) << 12 | (raw[three + 1].astype(np.int64) & 63) << 6 | raw[three + 2] & 63
+    kind = _SCRIPTS[code]
+    for k in range(3):
+        word[three[kind == 2] + k] = False
+    three = three[kind == 1]
+    plane = (raw[four].astype(np.int64) & 7) << 2 | (raw[four + 1] & 63) >> 4
+    four = four[(plane == 2) | (plane == 3)]
+    at = np.concatenate([three, three + 3, four, four + 4])
+    return at[at < len(raw)]
+
+
 def _cuts(raw: np.ndarray, limit: int) -> list[int]:
     """Places to cut at, just after an ASCII byte that belongs to no word, about limit bytes apart."""
     cuts, at = [0], 0
@@ -102,7 +137,8 @@ def _cuts(raw: np.ndarray, limit: int) -> list[int]:
     return [*cuts, len(raw)]
 
 
-def tokenize(column: pa.Array) -> Tokens:
+def tokenize(column: pa.Array, scripts: bool = False) -> Tokens:
+    """Tokens of a column; with scripts, those written without blanks are split by character."""
     raw, offsets = utf8(column)
     hashes, starts, ends = [], [], []
     cuts = _cuts(raw, _CHUNK)
@@ -110,12 +146,15 @@ def tokenize(column: pa.Array) -> Tokens:
         if a == b:
             continue
         word, low = word_mask(raw[a:b])
+        alone = _alone(raw[a:b], word) if scripts else None
         first = np.zeros(b - a, dtype=bool)
         rows = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
         first[rows] = True
         start = word & first
         start[0] |= word[0]
         start[1:] |= word[1:] & ~word[:-1]
+        if alone is not None:
+            start[alone] = word[alone]
         at = np.flatnonzero(word)
         if not len(at):
             continue

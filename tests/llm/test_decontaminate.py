@@ -98,6 +98,23 @@ def test_nulls_and_more(spark):
     assert D.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "so the Answer, it is: forty-two!"), (2, "answer it"), (3, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "answer it is forty"), (2, "Answer")], "item_id long, text string")
+    assert got(D.matches(docs, bench)) == [(1, 1, "phrase", 2, 6, 4), (1, 2, "phrase", 2, 3, 1), (2, 2, "phrase", 0, 1, 1)]
+    assert got(D.matches(docs, bench, fewest=4)) == [(1, 1, "phrase", 2, 6, 4)]
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == [3]
+
+
+def test_scripts_without_blanks(spark):
+    items = [(1, "水的沸点是多少？"), (2, "日本の首都、東京"), (3, "น้ำเดือด"), (4, "𠀀𠀁")]
+    docs = [(1, "问：水的沸点是多少，谢谢"), (2, "x日本の首都東京y"), (3, "เมื่อน้ำเดือดแล้ว"), (4, "a𠀀𠀁b"), (5, "水 沸 点")]
+    found = got(D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert [r[:5] for r in found] == [(1, 1, "phrase", 1, 8), (2, 2, "phrase", 1, 8), (3, 3, "phrase", 5, 13), (4, 4, "phrase", 1, 3)]
+    split = tokenize(pa.array(["Où, 한국어 ＡＢ！é", None, "中文a"]), scripts=True)
+    assert split.counts.tolist() == [4, 0, 3] and list(zip(split.start.tolist(), split.end.tolist()))[4:] == [(0, 3), (3, 6), (6, 7)]
+
+
 def test_very_long_text(spark):
     item = " ".join(f"v{i}" for i in range(20))
     long = "lorem ipsum dolor " * 200_000
