@@ -38,7 +38,7 @@ _BLANK = ord(" ")
 
 
 def _fold_table() -> np.ndarray:
-    """For each code point up to U+FFFF what it becomes; a blank ends words, 0 is left out."""
+    """For each code point what it becomes; a blank ends words, 0 is left out."""
     table = np.full(1 << 16, ord(" "), dtype=np.uint32)
     for c in range(1 << 16):
         if 0xD800 <= c < 0xE000:
@@ -66,7 +66,19 @@ def _fold_table() -> np.ndarray:
     for x in "lL":  # a written 1 or | can be either; both become i
         table[ord(x)] = ord("i")
     table[table == ord("l")] = ord("i")
-    return table
+    more = np.full(0x110000 - (1 << 16), _BLANK, dtype=np.uint32)
+    for c in (*range(1 << 16, 4 << 16), *range(14 << 16, 15 << 16)):  # no other planes have characters of their own
+        x = chr(c)
+        kind = unicodedata.category(x)
+        if kind in ("Mn", "Me", "Cf"):
+            more[c - (1 << 16)] = 0
+        elif kind[0] == "L" or kind == "Nd" or kind == "So":
+            letters = [y for y in unicodedata.normalize("NFKD", x.lower()) if unicodedata.category(y)[0] in "LN"]
+            base = ord(letters[0].lower()) if letters else c
+            if kind == "So" and not (len(letters) == 1 and letters[0].isascii() and letters[0].isalpha()):
+                continue  # a sign, but for a letter in a frame
+            more[c - (1 << 16)] = table[base] if base < 1 << 16 and table[base] not in (0, _BLANK) else base
+    return np.concatenate([table, more])
 
 
 _FOLD = _fold_table()
@@ -78,12 +90,12 @@ def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The folded texts one after another as code points, each begun and ended by a blank, and where they begin."""
     raw = np.frombuffer("".join(f"\n{x}\n" for x in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     stops = np.cumsum([len(x) + 2 for x in texts], dtype=np.int64)
-    out = np.where(raw < 1 << 16, _FOLD[np.minimum(raw, (1 << 16) - 1)], raw)
+    out = _FOLD[raw]
     at = np.flatnonzero(np.isin(raw, _SIGNS))  # signs between lines are at neither end, for each text begins and ends with a line end
     if len(at):
         run = np.cumsum(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (raw[at[1:]] != raw[at[:-1]])])) - 1
         size, first, last = np.bincount(run)[run], at[np.searchsorted(run, run)], at[np.searchsorted(run, run, side="right") - 1]
-        word = lambda x: (_FOLD[np.minimum(raw[x], 65535)] != _BLANK) & ~np.isin(raw[x], _SIGNS)
+        word = lambda x: (_FOLD[raw[x]] != _BLANK) & ~np.isin(raw[x], _SIGNS)
         ends = np.isin(raw[at], _SIGNS[:2])
         out[at[(size > 2) | ~(word(last + 1) | ~ends & word(first - 1))]] = _BLANK
     blank = out == _BLANK

@@ -91,3 +91,15 @@ def F_toxic():
     from pyspark.sql import functions as F
 
     return F.col("toxic").alias("truth")
+
+
+def test_code_points_beyond_the_first_plane():
+    automaton = T.Lexicon(dict(T.WORDS)).automaton()
+    bold = "".join(chr(0x1D41A + ord(c) - ord("a")) for c in "idiot")
+    script = "".join(chr(0x1D4D0 + ord(c) - ord("A")) for c in "IDIOT")
+    framed = "".join(chr(0x1F130 + ord(c) - ord("A")) for c in "IDIOT")
+    toxic = ["you idiot\U0001f621", "\U0001f621idiot", "idi\U000e0100ot", f"a {bold}!", script, framed, "idi\U0001d7ced", "sh\U0001d7cft", "shi\U0001d7d5", "a$$h0le\U0001f621"]
+    expected = [1, 1, 1, 1, 1, 1, 0, 1, 1, 1]
+    assert T.scores(automaton, toxic)[1].tolist() == expected
+    assert T.scores(automaton, ["\U00020000idiot", "\U00020000 \U00020001", "\U0001f621"])[2].tolist() == [1, 2, 0]
+    assert T.scores(automaton, ["\U00020000idiot"])[1].tolist() == [0]
