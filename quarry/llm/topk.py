@@ -1,10 +1,13 @@
-"""Exact top-k search by inner product, every vector being a query.
+"""Exact top-k search by inner product of a set of queries, against all vectors.
 
 Vectors are rotated by the singular vectors of the whole table, so that the first coordinates hold most of the products, and cut
-into blocks by descending length. A block of queries meets blocks of vectors from the longest on: what a query can reach at most is, by
+into blocks by descending length. A block of queries meets blocks of vectors: what a query can reach at most is, by
 Cauchy-Schwarz, its length times the block's; then the partial product of the first coordinates plus the product of the
-lengths of the rests; only pairs that may still be among the k best are multiplied in full. The longest vectors are met
-first by all queries; groups of blocks that no query of a group can gain from are then not sent to it at all.
+lengths of the rests; only pairs that may still be among the k best are multiplied in full.
+
+The longest vectors, of a bounded size, are sent to all queries first, which gives each a score that its k best have at least.
+Then the queries go to the vectors, block by block of a bounded size, those that need like lengths together: files and row groups of vectors
+too short for all of a block aren't read, and each task keeps its k best of each query before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -12,23 +15,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import Workspace, if_small
+from quarry.llm.shared import Workspace
 
 K = 10
-#: Vectors of a block, blocks of a group, digits of a score, and the part of the squared lengths that the first coordinates hold at least.
-BLOCK, GROUP, DIGITS, ENERGY = 1024, 16, 6, 0.8
-_SLACK = 10.0**-DIGITS * 2
+#: Digits of a score, and the part of the squared lengths that the first coordinates hold at least.
+DIGITS, ENERGY = 6, 0.8
+#: Bytes of a block of vectors or queries, of the longest vectors that are sent to all queries, of the queries that are sent to all vectors at once, and of a file of vectors.
+BLOCK, LONGEST, SENT, FILE = 1 << 20, 16 << 20, 64 << 20, 128 << 20
+#: Half a step of rounding on either side, and the error of a sum of products for each element, relative to the lengths.
+_STEP, _ERROR = 10.0**-DIGITS, 2.0**-50
 
 
-def _cleaned(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+def _cleaned(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & v.isNotNull()).where(fine).groupBy("id").agg(F.min("v").alias("v"))
-    return rows
+    return rows.where(F.col("id").isNotNull() & v.isNotNull()).where(fine).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -53,21 +58,25 @@ def rotation(rows: DataFrame, dim: int) -> tuple[np.ndarray, int]:
     values, axes = np.linalg.eigh(gram)
     axes, values = axes[:, ::-1], np.maximum(values[::-1], 0)
     held = np.cumsum(values) / max(values.sum(), 1e-300)
-    return axes, int(np.searchsorted(held, ENERGY)) + 1
+    return axes, min(int(np.searchsorted(held, ENERGY)) + 1, dim)
+
+
+def _rotated(x: np.ndarray, axes: np.ndarray, head: int) -> np.ndarray:
+    """For each vector its length, the length of its rest, and the vector in the new axes."""
+    turned = x @ axes
+    return np.concatenate([np.sqrt((x * x).sum(axis=1))[:, None], np.sqrt((turned[:, head:] ** 2).sum(axis=1))[:, None], turned], axis=1)
 
 
-def _blocks(rows: DataFrame, axes: np.ndarray, head: int, n: int, size: int, group: int) -> DataFrame:
-    """(group, block, most, ids, data): blocks of vectors by falling length; data has the length, the rest's length and the rotated vector of each."""
+def _blocks(rows: DataFrame, axes: np.ndarray, head: int, n: int, size: int) -> DataFrame:
+    """(block, most, ids, data): blocks of vectors by falling length; most is the length of the longest."""
     dim = len(axes)
 
     def run(batches):
         part, kept, made = TaskContext.get().partitionId(), [], 0
 
         def block(x: np.ndarray, ids: np.ndarray):
-            rotated = x @ axes
-            length, rest = np.sqrt((x * x).sum(axis=1)), np.sqrt((rotated[:, head:] ** 2).sum(axis=1))
-            data = np.concatenate([length[:, None], rest[:, None], rotated], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in ((part << 24) + made // group, made, float(length.max()), ids.tobytes(), data.tobytes())], ["group", "block", "most", "ids", "data"])
+            data = _rotated(x, axes, head)
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in ((part << 32) + made, float(data[:, 0].max()), ids.tobytes(), data.tobytes())], ["block", "most", "ids", "data"])
 
         for batch in batches:
             kept.append((_matrix(batch.column("v"), dim), batch.column("id").to_numpy()))
@@ -80,17 +89,18 @@ def _blocks(rows: DataFrame, axes: np.ndarray, head: int, n: int, size: int, gro
             yield block(*kept[0])
 
     ordered = rows.withColumn("l", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).repartitionByRange(n, F.desc("l"), "id").sortWithinPartitions(F.desc("l"), "id")
-    return ordered.select("id", "v").mapInArrow(run, "group long, block long, most double, ids binary, data binary")
+    return ordered.select("id", "v").mapInArrow(run, "block long, most double, ids binary, data binary")
 
 
-class _Best:
+class Best:
     """The best pairs so far of a block of queries: query, id, score; and each query's k-th score, below which none is needed."""
 
-    def __init__(self, ids: np.ndarray, k: int, least: np.ndarray):
-        self.ids, self.k, self.least = ids, k, least.copy()
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, least: np.ndarray, head: int):
+        self.ids, self.data, self.k, self.least, self.head = ids, data, k, least.copy(), head
         self.rows, self.found, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.error = _ERROR * (data.shape[1] - 2)
 
-    def add(self, rows: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+    def _add(self, rows: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
         other = self.ids[rows] != found
         self.rows, self.found, self.scores = (np.concatenate(x) for x in ((self.rows, rows[other]), (self.found, found[other]), (self.scores, scores[other])))
         rounded = np.round(self.scores, DIGITS)
@@ -103,107 +113,138 @@ class _Best:
         self.least[self.rows[last]] = np.maximum(self.least[self.rows[last]], np.round(self.scores[last], DIGITS))
         self.rows, self.found, self.scores = self.rows[keep], self.found[keep], self.scores[keep]
 
+    def meet(self, others: np.ndarray, x: np.ndarray) -> None:
+        """Takes what the block of vectors has for the queries."""
+        q, head = self.data, self.head
+        most = x[:, 0].max()
+        floor = self.least - _STEP - self.error * q[:, 0] * most  # what a computed bound has at least if the pair is needed
+        rows = np.flatnonzero(q[:, 0] * most >= floor)
+        if not len(rows):
+            return
+        bound = q[rows, 2 : 2 + head] @ x[:, 2 : 2 + head].T
+        bound += q[rows, 1, None] * x[None, :, 1]
+        i, j = np.nonzero(bound >= floor[rows, None])
+        if not len(i):
+            return
+        if len(i) > 0.05 * bound.size:
+            full = q[rows, 2:] @ x[:, 2:].T
+            low = floor[rows]
+            if len(others) > self.k:  # the k-th of this block alone is a bound too; one more, for a vector meets itself
+                low = np.maximum(low, np.partition(full, -self.k - 1, axis=1)[:, -self.k - 1] - _STEP - self.error * q[rows, 0] * most)
+            i, j = np.nonzero(full >= low[:, None])
+            scores = full[i, j]
+        else:
+            scores = np.einsum("ij,ij->i", q[rows[i], 2:], x[j, 2:])
+        self._add(rows[i], others[j], scores)
+
+    def need(self) -> np.ndarray:
+        """The length below which each query needs no vector."""
+        length, low = self.data[:, 0], self.least - _STEP
+        return np.where(length > 0, low / np.maximum(length * (1 + self.error), 1e-300), np.where(low <= 0, -np.inf, np.inf))
+
+
+def _read(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=np.float64).reshape(-1, width)
+
+
+def _asked(rows: DataFrame, longest: list, axes: np.ndarray, head: int, k: int, size: int) -> DataFrame:
+    """(id, need, least, data) of each query: its vector in the new axes, the k-th score among the longest vectors, and the length that this asks of others."""
+    sent = rows.sparkSession.sparkContext.broadcast(longest)
+    dim = len(axes)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                ids = part.column("id").to_numpy()
+                best = Best(ids, _rotated(_matrix(part.column("v"), dim), axes, head), k, np.full(len(ids), -np.inf), head)
+                for others, data in sent.value:
+                    best.meet(*_read(others, data, dim + 2))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(best.need()), pa.array(best.least), pa.array([x.tobytes() for x in best.data], pa.binary())], ["id", "need", "least", "data"])
+
+    return rows.mapInArrow(run, "id long, need double, least double, data binary")
+
+
+def _grouped(asked: DataFrame, n: int, size: int) -> DataFrame:
+    """(part, need, ids, least, data): blocks of queries that need like lengths."""
+
+    def run(batches):
+        base, made = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                rows = batch.slice(at, size)
+                values = base + made, min(rows.column("need").to_pylist()), rows.column("id").to_numpy().tobytes(), rows.column("least").to_numpy().tobytes(), b"".join(rows.column("data").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in values], ["part", "need", "ids", "least", "data"])
+                made += 1
+
+    return asked.repartitionByRange(n, F.desc("need"), "id").sortWithinPartitions(F.desc("need"), "id").mapInArrow(run, "part long, need double, ids binary, least binary, data binary")
+
+
+def _met(blocks: DataFrame, queries: list, k: int, head: int, width: int) -> DataFrame:
+    """(id, other, score): the k best of each query in each task's vectors."""
+    sent = blocks.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches):
+        bests = [Best(*_read(ids, data, width), k, np.frombuffer(least), head) for ids, least, data in sent.value]
+        for batch in batches:
+            for ids, data in zip(batch.column("ids"), batch.column("data")):
+                block = _read(ids.as_py(), data.as_py(), width)
+                for best in bests:
+                    best.meet(*block)
+        for best in bests:
+            if len(best.rows):
+                yield pa.RecordBatch.from_arrays([pa.array(best.ids[best.rows]), pa.array(best.found), pa.array(best.scores)], ["id", "other", "score"])
+
+    return blocks.select("ids", "data").mapInArrow(run, "id long, other long, score double")
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, queries: Column | None = None, block: int = BLOCK, longest: int = LONGEST, sent: int = SENT) -> DataFrame:
+    """(vec_id, rank, neighbor_id, score): for every query its k best others by inner product, by score rounded to DIGITS digits, then id.
 
-def _meet(queries: list[tuple[np.ndarray, np.ndarray]], vectors: list[tuple[np.ndarray, np.ndarray]], head: int, k: int, least: dict[int, float]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block of queries the ids of the best pairs, their scores, and each query's k-th score."""
-    vectors = sorted(vectors, key=lambda v: -v[1][:, 0].max())
-    out = []
-    for ids, q in queries:
-        best = _Best(ids, k, np.array([least.get(int(i), -np.inf) for i in ids]))
-        for others, x in vectors:
-            rows = np.flatnonzero(q[:, 0] * x[:, 0].max() >= best.least - _SLACK)
-            if not len(rows):
-                break
-            bound = q[rows, 2 : 2 + head] @ x[:, 2 : 2 + head].T
-            bound += q[rows, 1, None] * x[None, :, 1]
-            i, j = np.nonzero(bound >= best.least[rows, None] - _SLACK)
-            if not len(i):
-                continue
-            if len(i) > 0.05 * bound.size:
-                full = q[rows, 2:] @ x[:, 2:].T
-                if len(others) > k:  # the k-th of this block alone is a bound too; one more, for a vector meets itself
-                    kth = np.partition(full, -k - 1, axis=1)[:, -k - 1]
-                    i, j = np.nonzero(full >= np.maximum(best.least[rows], kth)[:, None] - _SLACK)
-                scores = full[i, j]
-            else:
-                scores = np.einsum("ij,ij->i", q[rows[i], 2:], x[j, 2:])
-            best.add(rows[i], others[j], scores)
-        out.append((ids[best.rows], best.found, best.scores, best.least))
-    return out
-
-
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): for every vector its k best others by inner product, by score rounded to DIGITS digits, then id.
-
-    Rows with a null id, a null or empty vector, or one with a null or infinite element are left out, and so are vectors of another than the
-    most frequent length (the least of equally frequent ones). Rows that repeat an id are one vector, the least of them. A vector has fewer rows where there are fewer others; an empty table
-    gives none. Other columns aren't looked at.
+    queries is a condition on the id column that names the vectors which are queries; without it all are. Those of a query are all vectors of
+    its own number of elements but itself. Rows with a null id, a null or empty vector, or one with a null or
+    infinite element are left out. Rows that repeat an id are one vector, the least of them. A query has fewer rows where there are fewer others; an empty table
+    gives none. Equal scores are ranked by id. Other columns aren't looked at. block, longest and sent are bounds in bytes; they change no result.
     """
     if k < 1:
         raise ValueError("k is at least 1")
     spark = vectors.sparkSession
     work = Workspace(spark, "topk")
-    rows = work.store(_cleaned(vectors, id_col, vector_col), "rows")
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = f"{id_col} long, rank int, neighbor_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], empty)
-    dim, count = sizes["n"], sizes["count"]
-    rows = rows.where(F.size("v") == dim)
-    axes, head = rotation(rows, dim)
-    n = max(1, -(-count // (block * group)))
-    blocks = work.store(_blocks(rows, axes, head, n, block, group), "blocks")
-    groups = work.store(blocks.groupBy("group").agg(F.max("most").alias("most")), "groups")
-    longest = groups.orderBy(F.desc("most"), "group").first()["group"]
-
-    def read(table: pa.Table, ids: str, data: str):
-        return [(np.frombuffer(i, dtype=np.int64), np.frombuffer(d, dtype=np.float64).reshape(-1, dim + 2)) for i, d in zip(table.column(ids).to_pylist(), table.column(data).to_pylist())]
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = read(left, "ids", "data")
-        least = {}
-        if "least" in left.column_names:
-            for (ids, _), x in zip(own, left.column("least").to_pylist()):
-                least |= dict(zip(ids.tolist(), np.frombuffer(x).tolist()))
-        found = _meet(own, read(right, "other_ids", "other_data"), head, k, least)
-        group_ = left.column("query")[0].as_py() if left.num_rows else 0
-        ids, others, scores = (np.concatenate([x[c] for x in found]) if found else np.zeros(0) for c in range(3))
-        best = pa.table({"query": np.full(len(ids), group_), "id": ids.astype(np.int64), "other": others.astype(np.int64), "score": scores.astype(float), "block": pa.nulls(len(ids), pa.int64()), "least": pa.nulls(len(ids), pa.binary())})
-        marks = pa.table({"query": np.full(len(found), group_), "id": pa.nulls(len(found), pa.int64()), "other": pa.nulls(len(found), pa.int64()), "score": pa.nulls(len(found), pa.float64()), "block": left.column("block"), "least": pa.array([x[3].tobytes() for x in found], pa.binary())})
-        return pa.concat_tables([best, marks])
-
-    out = "query long, id long, other long, score double, block long, least binary"
-    queries = blocks.select(F.col("group").alias("query"), F.lit(longest).alias("met"), "block", "ids", "data")
-    others = blocks.select(F.col("group").alias("met"), F.col("ids").alias("other_ids"), F.col("data").alias("other_data"))
-    met = groups.select(F.col("group").alias("asker")).crossJoin(others.where(F.col("met") == longest))
-    seeds = work.store(queries.groupBy("query", "met").cogroup(met.groupBy("asker", "met")).applyInArrow(pair, out), "seeds")
-    found = seeds.where("id is not null")
-    if n > 1:
-        least = seeds.where("id is null").select("query", "block", "least")
-        asked = work.store(blocks.withColumnRenamed("group", "query").join(least, ["query", "block"]), "asked")
-
-        def needs(batches):
-            for batch in batches:
-                need = []
-                for d, x in zip(batch.column("data").to_pylist(), batch.column("least").to_pylist()):
-                    length, low = np.frombuffer(d).reshape(-1, dim + 2)[:, 0], np.frombuffer(x) - _SLACK
-                    need.append(float(np.where(length > 0, low / np.maximum(length, 1e-300), np.where(low <= 0, -np.inf, np.inf)).min()))
-                yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(need)], ["query", "need"])
-
-        need = asked.select("query", "data", "least").mapInArrow(needs, "query long, need double").groupBy("query").agg(F.min("need").alias("need"))
-        pairs = work.store(need.crossJoin(if_small(groups.where(F.col("group") != longest).withColumnRenamed("group", "met"))).where("most >= need").select("query", "met"), "pairs")
-        left = pairs.join(asked, "query").select("query", "met", "block", "ids", "data", "least")
-        right = pairs.withColumnRenamed("query", "asker").join(others, "met").select("asker", F.col("met").alias("of"), "other_ids", "other_data")
-        found = found.union(left.groupBy("query", "met").cogroup(right.groupBy("asker", "of")).applyInArrow(pair, out).where("id is not null"))
+    all_rows = work.store(_cleaned(vectors, id_col, vector_col), "rows")
+    chosen = F.lit(True) if queries is None else queries
+    found = None
+    for dim, count in sorted(tuple(r) for r in all_rows.groupBy(F.size("v")).count().collect()):
+        rows, width, name = all_rows.where(F.size("v") == dim), dim + 2, str(dim)
+        size = max(1, block // (8 * width))
+        asking = rows.withColumnRenamed("id", id_col).where(chosen).withColumnRenamed(id_col, "id").select("id", "v")
+        number = asking.count()
+        if not number or count < 2:
+            continue
+        axes, head = rotation(rows, dim)
+        files = max(-(-count * 8 * width // FILE), min(spark.sparkContext.defaultParallelism, -(-count // size)))
+        blocks = work.store(_blocks(rows, axes, head, files, size), f"blocks-{name}")
+        first = blocks.orderBy(F.desc("most"), "block").limit(max(1, longest // block)).select("ids", "data").collect()
+        asked = work.store(_asked(asking, [tuple(r) for r in first], axes, head, k, size), f"asked-{name}")
+        parts = work.store(_grouped(asked, max(1, number * 8 * width // sent), size), f"queries-{name}")
+        order = parts.select("part", "need").orderBy(F.desc("need"), "part").collect()
+        together = max(1, sent // block)
+        for at in range(0, len(order), together):
+            some = order[at : at + together]
+            given = parts.where(F.col("part").isin([r["part"] for r in some])).select("ids", "least", "data").collect()
+            met = work.store(_met(blocks.where(F.col("most") >= min(r["need"] for r in some)), [tuple(map(bytes, r)) for r in given], k, head, width), f"found-{name}-{at}")
+            found = met if found is None else found.union(met)
+    work.drop("rows")
+    if found is None:
+        return spark.createDataFrame([], f"`{id_col}` long, rank int, neighbor_id long, score double")
     scored = found.select(F.col("id").alias(id_col), F.col("other").alias("neighbor_id"), F.round("score", DIGITS).alias("score"))
-    order = Window.partitionBy(id_col).orderBy(F.desc("score"), "neighbor_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(id_col, "rank", "neighbor_id", (F.col("score") + 0.0).alias("score"))
+    ranking = Window.partitionBy(id_col).orderBy(F.desc("score"), "neighbor_id")
+    return scored.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k).select(id_col, "rank", "neighbor_id", (F.col("score") + 0.0).alias("score"))
 
 
-def oracle(k: int = K) -> str:
+def oracle(k: int = K, every: int = 50) -> str:
     return f"""
 WITH pairs AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), {DIGITS}) + 0.0 AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS rank FROM pairs)
 SELECT vec_id, rank::INT AS rank, neighbor_id, score FROM ranked WHERE rank <= {k}"""
