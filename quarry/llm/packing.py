@@ -1,6 +1,6 @@
 """Best-fit packing of documents into training sequences, bettered by a local search of exchanges.
 
-Documents longer than a bin are cut into full pieces and a rest. Pieces are dealt by hash into independent groups whose
+Lengths are counts of token ids. Documents longer than a bin are cut into full pieces and a rest. Pieces are dealt by hash into independent groups whose
 number follows from the tokens of the corpus, so that a task holds the lengths of about BINS bins. In a group the
 pieces go best-fit, longest first; then documents are moved, exchanged one for one, two for one or one for two between
 underfull bins wherever that increases the sum of squared fills, until no such step is left or the bins are as few as the tokens allow.
@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import Workspace
+from quarry.llm.tokens import slices
+from quarry.llm.wavelet import VOCABULARY, encoding, token_ids
 
 #: Tokens of a bin, and bins of a group on average.
 CAPACITY, BINS = 2048, 1024
@@ -41,80 +43,93 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pairs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(len(values), 1)
+def _sums(items: np.ndarray, sizes: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct sizes of a bin's items, and the distinct sums of two of them, each with one item or pair that has it."""
+    items = np.sort(items)
+    single, first, counts = np.unique(sizes[items], return_index=True, return_counts=True)
+    order = np.argsort(sizes[items], kind="stable")
+    again = items[order[np.minimum(np.cumsum(counts) - counts + 1, len(order) - 1)]]  # another item of the same size, where there is one
+    i, j = np.triu_indices(len(single))
+    keep = (i != j) | (counts[i] > 1)
+    i, j = i[keep], j[keep]
+    double, place = np.unique(single[i] + single[j], return_index=True)
+    left, right = items[first[i[place]]], np.where(i[place] == j[place], again[j[place]], items[first[j[place]]])
+    return (single, items[first], np.full(len(single), -1)), (double, left, right)
 
 
 class _Search:
-    """Bins that aren't full, with their items; steps that increase the sum of squared fills."""
+    """Bins that aren't full, with their items; steps that increase the sum of squared fills.
+
+    Items of one size are alike, so a bin is known by its distinct sizes and sums of two, which are at most as many as the capacity
+    whatever the number of items. What is moved from one bin to another is best the most that fits, so for each thing to take in exchange only the
+    largest thing to give that still fits is looked at: no table of all exchanges is made.
+    """
 
     def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
         self.sizes, self.capacity = sizes, capacity
         self.bins = {b: list(items) for b, items in enumerate(bins)}
         self.fill = {b: int(sizes[items].sum()) for b, items in self.bins.items()}
         self.open = {b for b in self.bins if self.fill[b] < capacity}
-
-    def _others(self, giver: int):
-        """Single items, and pairs of one bin, of the other open bins: items, size, bin."""
-        items, where, left, right, pair_bin = [], [], [], [], []
-        for b in sorted(self.open - {giver}):
-            own = np.array(self.bins[b], dtype=np.int64)
-            items.append(own)
-            where.append(np.full(len(own), b))
-            i, j = _pairs(own)
-            left.append(own[i])
-            right.append(own[j])
-            pair_bin.append(np.full(len(i), b))
-        empty = np.zeros(0, dtype=np.int64)
-        items, where, left, right, pair_bin = (np.concatenate([empty, *x]) for x in (items, where, left, right, pair_bin))
-        return (items, where), (left, right, pair_bin)
+        self.known: dict[int, tuple] = {}
+        self.flat: tuple | None = None
+
+    def _of(self, b: int):
+        if b not in self.known:
+            self.known[b] = _sums(np.array(self.bins[b], dtype=np.int64), self.sizes)
+        return self.known[b]
+
+    def _taken(self):
+        """Nothing, single items and pairs of all open bins: for each its size, its items, and its bin's number, fill and gap."""
+        if self.flat is None:
+            bins = np.array(sorted(self.open), dtype=np.int64)
+            fill = np.array([self.fill[b] for b in bins.tolist()], dtype=np.int64)
+            none = np.zeros(len(bins), dtype=np.int64)
+            out = [(none, none - 1, none - 1, bins, fill)]
+            for kind in (0, 1):
+                parts = [self._of(b)[kind] for b in bins.tolist()]
+                n = [len(x[0]) for x in parts]
+                out.append((*(np.concatenate([none[:0], *(x[c] for x in parts)]) for c in range(3)), np.repeat(bins, n), np.repeat(fill, n)))
+            self.flat = tuple((*x, self.capacity - x[4] + x[0]) for x in out)
+        return self.flat
 
     def step(self, giver: int) -> bool:
-        """The step that gives most from this bin to another; False if there is none."""
-        own = np.array(self.bins[giver], dtype=np.int64)
-        others = np.array(sorted(self.open - {giver}), dtype=np.int64)
-        if not len(own) or not len(others):
-            return False
-        fill = np.array([self.fill[b] for b in others])
+        """The step that gives most from this bin to another, of equal ones that to the first bin; False if there is none. Exchanges are tried if nothing can be moved."""
         least = self.fill[giver]
-
-        def best(given: np.ndarray, taken: np.ndarray, at: np.ndarray):
-            """Largest gain over all given sizes (rows) for taken ones (columns) of bins with index at."""
-            if not len(given) or not len(at):
-                return 0, 0, 0
-            moved = given[:, None] - taken[None, :]
-            gain = np.where((moved > 0) & (moved <= self.capacity - fill[at]), moved * (fill[at] - least + moved), 0)
+        single, double = self._of(giver)
+        nothing, singles, doubles = self._taken()
+        found = (0, None, None, 0)
+
+        def best(given, taken):
+            nonlocal found
+            size, _, _, bins, fill, room = taken
+            if not len(given[0]) or not len(size):
+                return
+            at = np.searchsorted(given[0], room, side="right") - 1
+            moved = given[0][at] - size
+            gain = np.where((at >= 0) & (moved > 0) & (bins != giver), moved * (fill - least + moved), 0)
             k = int(gain.argmax())
-            return int(gain.flat[k]), k // gain.shape[1], k % gain.shape[1]
+            if gain[k] > found[0]:
+                found = int(gain[k]), (int(given[1][at[k]]), int(given[2][at[k]])), (int(taken[1][k]), int(taken[2][k])), int(bins[k])
 
-        sizes = self.sizes
-        every = np.arange(len(others))
-        gain, i, k = best(sizes[own], np.zeros(len(others), dtype=np.int64), every)
-        found = (gain, [own[i]], [], others[k]) if gain > 0 else (0, [], [], 0)
+        best(single, nothing)
         if not found[0]:
-            (items, where), (left, right, pair_bin) = self._others(giver)
-            a, b = _pairs(own)
-            for given, given_size, taken, taken_size, place in (
-                ((own,), sizes[own], (items,), sizes[items], where),
-                ((own[a], own[b]), sizes[own[a]] + sizes[own[b]], (items,), sizes[items], where),
-                ((own,), sizes[own], (left, right), sizes[left] + sizes[right], pair_bin),
-            ):
-                gain, i, k = best(given_size, taken_size, np.searchsorted(others, place))
-                if gain > found[0]:
-                    found = (gain, [x[i] for x in given], [x[k] for x in taken], place[k])
+            best(single, singles)
+            best(double, singles)
+            best(single, doubles)
         gain, given, taken, to = found
-        if gain <= 0:
+        if not gain:
             return False
-        for x in given:
-            self.bins[giver].remove(int(x))
-            self.bins[int(to)].append(int(x))
-        for x in taken:
-            self.bins[int(to)].remove(int(x))
-            self.bins[giver].append(int(x))
-        moved = int(sum(sizes[x] for x in given) - sum(sizes[x] for x in taken))
-        for b, change in ((giver, -moved), (int(to), moved)):
+        given, taken = [x for x in given if x >= 0], [x for x in taken if x >= 0]
+        for items, a, b in ((given, giver, to), (taken, to, giver)):
+            for x in items:
+                self.bins[a].remove(x)
+                self.bins[b].append(x)
+        moved = int(sum(self.sizes[x] for x in given) - sum(self.sizes[x] for x in taken))
+        for b, change in ((giver, -moved), (to, moved)):
+            self.known.pop(b, None)
             self.fill[b] += change
             (self.open.discard if self.fill[b] in (0, self.capacity) else self.open.add)(b)
+        self.flat = None
         if not self.bins[giver]:
             del self.bins[giver], self.fill[giver]
         return True
@@ -137,29 +152,38 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return out
 
 
-def tokens(text: Column) -> Column:
-    """Words, numbers and other signs of a text, counted without Python."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]")).cast("long")
+def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n): how many token ids each row's text has by the tokenizer of the token files. A null text has none; an empty table gives no row."""
+
+    def run(batches):
+        enc = encoding(vocabulary)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                counts = [len(token_ids(enc, x)) if x else 0 for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long")
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, bins: int = BINS, length_col: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, bins: int = BINS, length_col: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """(bin_id, doc_id, piece, start, tokens): each piece of each document with its bin; start is its first token in the document.
 
-    length_col names a column of token counts; without it words and signs of the text are counted.
-    Null and empty texts, and counts below 1, have no row. Repeated rows are packed each for itself; a null id stays null.
+    Tokens are the ids that the tokenizer of the token files gives; length_col names a column of counts instead.
+    Null and empty texts, and counts below 1, have no row. Repeated rows are packed each for itself, wherever their place in the table puts them; a null id stays null.
+    A document above the capacity, however long, is cut into pieces that are dealt each for itself. Of steps that gain alike the one to the first bin is taken.
     An empty table gives no row. Other columns aren't looked at.
     """
     if capacity < 1:
         raise ValueError("a bin takes a token at least")
     work = Workspace(docs.sparkSession, "packing")
-    length = F.col(length_col).cast("long") if length_col else tokens(F.col(text_col))
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), length.alias("n"), F.xxhash64(id_col, text_col).alias("h"))
-    sized = work.store(named.where("n >= 1"), "lengths")
+    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(length_col).cast("long").alias("n")) if length_col else lengths(docs, id_col, text_col, vocabulary)
+    sized = work.store(counted.where("n >= 1"), "lengths")
     total = sized.agg(F.sum("n")).first()[0] or 0
     groups = max(1, round(total / (capacity * bins)))
     last = F.floor((F.col("n") - 1) / capacity).cast("int")
-    pieces = sized.select("doc_id", F.pmod("h", F.lit(groups)).alias("group"), "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    pieces = pieces.select("group", "doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece").cast("long") * capacity).alias("tokens"))
+    # by the place in the stored table, which is the same in every attempt: rows that repeat an id and a text are spread like others
+    pieces = sized.withColumn("at", F.monotonically_increasing_id()).select("doc_id", "at", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = pieces.select(F.pmod(F.xxhash64("at", "piece"), F.lit(groups)).alias("group"), "doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece").cast("long") * capacity).alias("tokens"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("tokens", "ascending")])

@@ -9,11 +9,12 @@ A file holds the planes in blocks that are compressed for themselves, so a looku
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ from quarry.llm.tokens import slices
 SHARD, BLOCK = 1 << 20, 1 << 15
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space characters in a row that the tokenizer meets at once, at most.
+BLANKS = 10_000
+_LONG_BLANKS = re.compile(rf"(\s{{{BLANKS}}})")
 _MAGIC = b"WVLT0001"
 
 
@@ -40,6 +44,13 @@ def encoding(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_ids(enc, text: str) -> list[int]:
+    """The ids of a text. White space of more than BLANKS characters in a row is cut there, for the pattern looks back over all of it."""
+    if len(text) <= BLANKS or not (parts := _LONG_BLANKS.split(text))[1:]:
+        return enc.encode_ordinary(text)
+    return [x for part in parts if part for x in enc.encode_ordinary(part)]
+
+
 def build(ids: np.ndarray, documents: np.ndarray, ends: np.ndarray, level: int = 6) -> bytes:
     """The file of a shard: ids of all its documents, one after another, the documents' own ids, and where each ends."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
@@ -168,7 +179,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
 
     def run(batches):
-        to_ids = encode or encoding(vocabulary).encode_ordinary
+        to_ids = encode or partial(token_ids, encoding(vocabulary))
         base, made = TaskContext.get().partitionId() << 32, 0
         names, parts, total = [], [], 0
 
