@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, language, packing, simhash, suffix, template, topk, toxicity, warc, wavelet
-from quarry.llm.shared import ship
+from quarry.llm.shared import Workspace, ship
 from quarry.storage import spread
 
 
@@ -40,7 +40,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.shards(_table(spark, sf_dir, "documents"))
+    """Every occurrence of each token id that is divisible by 50, found in the files that all documents are written to."""
+    work = Workspace(spark, "tokens")
+    work.store(wavelet.write(wavelet.shards(_table(spark, sf_dir, "documents")), f"{work.path}/shards"), "written")
+    return wavelet.lookup(wavelet.read(spark, f"{work.path}/shards"), range(0, wavelet.size_of(), 50))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,19 +13,19 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.tokens import slices
 
-#: Ids of a shard, about; bits of a block (a power of two).
-SHARD, BLOCK = 1 << 20, 1 << 15
+#: Ids of a shard, about; bits of a block, and bits for which the ones are counted when a block is unpacked (powers of two).
+SHARD, BLOCK, STEP = 1 << 20, 1 << 15, 1 << 9
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space characters in a row that the tokenizer meets at once, at most.
@@ -44,6 +44,11 @@ def encoding(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def size_of(vocabulary: str = VOCABULARY) -> int:
+    """One more than the greatest id."""
+    return encoding(vocabulary).n_vocab
+
+
 def token_ids(enc, text: str) -> list[int]:
     """The ids of a text. White space of more than BLANKS characters in a row is cut there, for the pattern looks back over all of it."""
     if len(text) <= BLANKS or not (parts := _LONG_BLANKS.split(text))[1:]:
@@ -87,28 +92,61 @@ class Shard:
         self.blocks = self.counts.shape[1] - 1
         at += head
         self.places = np.frombuffer(self.file[at : at + 8 * (self.planes * self.blocks + 1)], dtype="<i8") + at + 8 * (self.planes * self.blocks + 1)
-        self._unpacked: dict[int, np.ndarray] = {}
+        self._unpacked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _bits(self, plane: int, block: int) -> np.ndarray:
-        """Bits of a block."""
+    def _block(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of a block, and the ones before each STEP of them."""
         k = plane * self.blocks + block
         if k not in self._unpacked:
             raw = np.frombuffer(zlib.decompress(self.file[self.places[k] : self.places[k + 1]]), dtype=np.uint8)
-            self._unpacked[k] = np.unpackbits(raw)[: min(BLOCK, self.size - block * BLOCK)]
+            bits = np.unpackbits(raw)[: min(BLOCK, self.size - block * BLOCK)]
+            ones = np.add.reduceat(bits, np.arange(0, len(bits), STEP), dtype=np.int32)
+            self._unpacked[k] = bits, np.concatenate([[0], np.cumsum(ones)])
         return self._unpacked[k]
 
+    def _bits(self, plane: int, block: int) -> np.ndarray:
+        return self._block(plane, block)[0]
+
     def _rank1(self, plane: int, place: int) -> int:
         """Ones of a plane before a place."""
         block = place // BLOCK
         inside = place - block * BLOCK
-        return int(self.counts[plane, block]) + (int(np.count_nonzero(self._bits(plane, block)[:inside])) if inside else 0)
+        if not inside:
+            return int(self.counts[plane, block])
+        bits, ones = self._block(plane, block)
+        step = inside // STEP
+        return int(self.counts[plane, block]) + int(ones[step]) + int(np.count_nonzero(bits[step * STEP : inside]))
+
+    def _ranks(self, plane: int, places: np.ndarray) -> np.ndarray:
+        """Ones of a plane before each place; each block is counted once for all places in it."""
+        block = places // BLOCK
+        inside = places - block * BLOCK
+        out = self.counts[plane, block]
+        for b in np.unique(block[inside > 0]).tolist():
+            here = np.flatnonzero((block == b) & (inside > 0))
+            out[here] += np.cumsum(self._bits(plane, b), dtype=np.int32)[inside[here] - 1]
+        return out
 
     def _select(self, plane: int, bit: int, k: int) -> int:
         """The place of the bit's occurrence k, from 0."""
         ones = self.counts[plane]
         before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.size) - ones
         block = int(np.searchsorted(before, k, side="right")) - 1
-        return block * BLOCK + int(np.flatnonzero(self._bits(plane, block) == bit)[k - int(before[block])])
+        bits, ones = self._block(plane, block)
+        before, k = ones if bit else np.minimum(np.arange(len(ones)) * STEP, len(bits)) - ones, k - int(before[block])
+        step = int(np.searchsorted(before, k, side="right")) - 1
+        return block * BLOCK + step * STEP + int(np.flatnonzero(bits[step * STEP : (step + 1) * STEP] == bit)[k - int(before[step])])
+
+    def _selects(self, plane: int, bit: int, ks: np.ndarray) -> np.ndarray:
+        """The place of each of the bit's occurrences, from 0."""
+        ones = self.counts[plane]
+        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.size) - ones
+        block = np.searchsorted(before, ks, side="right") - 1
+        out = np.zeros(len(ks), dtype=np.int64)
+        for b in np.unique(block).tolist():
+            here = np.flatnonzero(block == b)
+            out[here] = b * BLOCK + np.flatnonzero(self._bits(plane, b) == bit)[ks[here] - int(before[b])]
+        return out
 
     def access(self, place: int) -> int:
         """The token at a place."""
@@ -146,12 +184,47 @@ class Shard:
         place = start + k
         for p in range(self.planes - 1, -1, -1):
             bit = token >> (self.planes - 1 - p) & 1
-            place = self._select(p, bit, place - int(self.zeros[p]) if bit else place)
+            place = self._select(p, bit, place - int(self.zeros[p]) * bit)
         return place
 
+    def _back(self, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Places after the last plane, of such tokens, as places in the text."""
+        places = places.copy()
+        for p in range(self.planes - 1, -1, -1):
+            bits = tokens >> (self.planes - 1 - p) & 1
+            for bit in (0, 1):
+                here = np.flatnonzero(bits == bit)
+                if len(here):
+                    places[here] = self._selects(p, bit, places[here] - int(self.zeros[p]) * bit)
+        return places
+
+    def counts_of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each token occurs, and where its places begin after the last plane: two ranks a plane for all tokens together."""
+        start, stop = np.zeros(len(tokens), dtype=np.int64), np.full(len(tokens), self.size, dtype=np.int64)
+        for p in range(self.planes):
+            a, b = self._ranks(p, start), self._ranks(p, stop)
+            bit = (tokens >> (self.planes - 1 - p) & 1).astype(bool)
+            zeros = int(self.zeros[p])
+            start, stop = np.where(bit, zeros + a, start - a), np.where(bit, zeros + b, stop - b)
+        known = (tokens >= 0) & (tokens >> self.planes == 0)
+        return np.where(known, stop - start, 0), start
+
+    def locate_all(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token, place) of every occurrence of distinct tokens, by token, then place; the places of all go back plane by plane together."""
+        tokens = np.asarray(tokens, dtype=np.int64)
+        number, start = self.counts_of(tokens)
+        owner = np.repeat(tokens, number)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+        return owner, self._back(owner, np.repeat(start, number) + inner)
+
     def locate(self, token: int) -> list[int]:
         """The places of all occurrences, in order."""
-        return [self.select(token, k) for k in range(self.count(token))]
+        return self.locate_all(np.array([token]))[1].tolist()
+
+    def documents_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The document that each place is in, and the place in it."""
+        k = np.searchsorted(self.ends, places, side="right")
+        return self.documents[k], places - np.where(k > 0, self.ends[k - 1], 0)
 
     def document(self, place: int) -> tuple[int, int]:
         """The document that a place is in, and the place in it."""
@@ -173,7 +246,7 @@ class Shard:
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, size: int = SHARD, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
     """(shard, documents, tokens, bytes, file): all texts' token ids; shard names the input partition and the place in it.
 
-    A shard ends with the document that brings it to so many ids. Null and empty texts are documents without ids;
+    A shard ends with the document that brings it to so many ids; a document of more ids than that is in one shard, too. Null and empty texts are documents without ids;
     repeated rows are documents of their own; rows without an id are left out, for their places couldn't be named. An empty table gives no row.
     Other columns aren't looked at.
     """
@@ -205,7 +278,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def write(made: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard's file to the folder, which all executors share; gives (shard, path, bytes).
+    """Writes each shard's file to the folder, which all executors share; gives (shard, path, bytes). No shard gives no row and leaves the folder as it is.
 
     A file gets its name only when it is whole, so that an attempt that is lost or made twice leaves nothing wrong.
     """
@@ -229,15 +302,27 @@ def write(made: DataFrame, folder: str) -> DataFrame:
     return made.mapInArrow(run, "shard long, path string, bytes long")
 
 
-def lookup(made: DataFrame, tokens: list[int]) -> DataFrame:
-    """(token, doc_id, place): every occurrence of the tokens, from the shards' files; repeated tokens count once."""
-    wanted = sorted(set(tokens))
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, file) of all files that write() left in a folder; unfinished ones aren't read. An empty folder gives no row."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvlt").load(folder)
+    return files.select(F.conv(F.regexp_extract("path", r"([0-9a-f]{16})\.wvlt$", 1), 16, 10).cast("long").alias("shard"), F.col("content").alias("file"))
+
+
+def lookup(made: DataFrame, tokens: Iterable[int]) -> DataFrame:
+    """(token, doc_id, place): every occurrence of the tokens, from the shards' files; repeated tokens count once, unknown ones have no row.
+
+    Each shard is asked for all tokens together, so that a block of bits is unpacked and counted once. A document that stands in several rows has
+    its occurrences once for each; a document without any has no row, and no shard or no token gives none. Other columns than file aren't looked at.
+    """
+    wanted = np.array(sorted(set(tokens)), dtype=np.int64)
 
     def run(batches):
         for batch in batches:
-            for file in batch.column("file").to_pylist():
-                shard = Shard(file)
-                rows = [(t, *shard.document(place)) for t in wanted for place in shard.locate(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["token", "doc_id", "place"])
+            for file in batch.column("file"):
+                shard = Shard(file.as_py())
+                token, place = shard.locate_all(wanted)
+                doc, inner = shard.documents_at(place)
+                for at in range(0, len(token), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (token, doc, inner)], ["token", "doc_id", "place"])
 
     return made.select("file").mapInArrow(run, "token long, doc_id long, place long")

@@ -36,7 +36,7 @@ def test_queries_cover_the_tables(spark):
     docs, pages = read(spark, "documents"), read(spark, "pages")
     n = docs.count()
     assert QUERIES["op2_language"](spark, DIR).count() == QUERIES["op6_toxicity"](spark, DIR).count() == n
-    files = QUERIES["op4_tokens"](spark, DIR).collect()
+    files = wavelet.shards(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     enc, decoded = wavelet.encoding(), {}
     for f in files:
@@ -45,6 +45,8 @@ def test_queries_cover_the_tables(spark):
         for k, (d, end) in enumerate(zip(shard.documents, shard.ends)):
             decoded[int(d)] = enc.decode(ids[shard.ends[k - 1] if k else 0 : end].tolist())
     assert decoded == {d: t or "" for d, t in texts.items()}
+    expected = sorted((x, d, p) for d, t in texts.items() if t for p, x in enumerate(enc.encode_ordinary(t)) if x % 50 == 0)
+    assert sorted(map(tuple, QUERIES["op4_tokens"](spark, DIR).collect())) == expected
     packed = QUERIES["op1_packing"](spark, DIR)
     lengths = spark.createDataFrame([(d, len(enc.encode_ordinary(t))) for d, t in texts.items() if t], "doc_id long, n long")
     assert packed.groupBy("doc_id").sum("tokens").exceptAll(lengths).count() == 0

@@ -15,7 +15,9 @@ def test_as_the_ids(n, top):
     for token in [0, 1, 2, top - 1, top + 9]:
         places = np.flatnonzero(ids == token)
         assert shard.count(token) == len(places)
-        assert shard.locate(token)[:5] == places[:5].tolist() if len(places) < 500 else shard.select(token, 17) == places[17]
+        assert shard.locate(token) == places.tolist()
+        for k in {0, len(places) // 2, len(places) - 1} & set(range(len(places))):
+            assert shard.select(token, k) == places[k]
         for at in {0, n // 3, n, n + 5}:
             assert shard.rank(token, at) == (ids[:at] == token).sum()
     for place in {0, n // 2, n - 1} & set(range(n)):
@@ -27,6 +29,18 @@ def test_as_the_ids(n, top):
         shard.select(1, shard.count(1))
 
 
+def test_all_occurrences_of_many_tokens():
+    ids = np.minimum(np.random.default_rng(4).zipf(1.3, 200_000), 999).astype(np.uint32)
+    shard = W.Shard(W.build(ids, np.array([5, 6, 7]), np.array([0, 150_000, 200_000])))
+    wanted = np.arange(0, 1300, 7)
+    token, place = shard.locate_all(wanted)
+    expected = [(t, p) for t in wanted.tolist() for p in np.flatnonzero(ids == t).tolist()]
+    assert list(zip(token.tolist(), place.tolist())) == expected
+    assert shard.counts_of(wanted)[0].tolist() == [int((ids == t).sum()) for t in wanted]
+    doc, inner = shard.documents_at(place)
+    assert (doc == np.where(place < 150_000, 6, 7)).all() and (inner == np.where(place < 150_000, place, place - 150_000)).all()
+
+
 def test_lookups_unpack_few_blocks():
     ids = np.random.default_rng(0).integers(0, 50257, 1 << 19).astype(np.uint32)
     shard = W.Shard(W.build(ids, np.array([1]), np.array([len(ids)])))
@@ -38,7 +52,7 @@ def test_lookups_unpack_few_blocks():
 
 def test_round_trip(spark, tmp_path):
     rng = random.Random(2)
-    texts = ["Hello, world's end.\n\n  It's 12 <|endoftext|> naïve", "", None, "a", "word " * 30_000] + [" ".join(rng.choice(["the", "cat", "séa", "123", "?!"]) for _ in range(50)) for _ in range(40)]
+    texts = ["Hello, world's end.\n\n  It's 12 <|endoftext|> naïve", "", None, "a", "word " * 30_000, " " * 1_000_000] + [" ".join(rng.choice(["the", "cat", "séa", "123", "?!"]) for _ in range(50)) for _ in range(40)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, "a", 1), (None, "gone", 1)], "doc_id long, text string, shard long").repartition(3)
     made = W.shards(docs, size=3000).cache()
     enc = W.encoding()
@@ -52,10 +66,15 @@ def test_round_trip(spark, tmp_path):
             start = end
     assert sorted(got) == sorted([(i, t or "") for i, t in enumerate(texts)] + [(3, "a")])
     token = enc.encode_ordinary(" cat")[0]
-    expected = sorted((i, p) for i, t in [*enumerate(texts), (3, "a")] for p, x in enumerate(enc.encode_ordinary(t or "")) if x == token)
+    expected = sorted((i, p) for i, t in [*enumerate(texts), (3, "a")] for p, x in enumerate(W.token_ids(enc, t or "")) if x == token)
     assert sorted((r.doc_id, r.place) for r in W.lookup(made, [token, token]).collect()) == expected
     for _ in range(2):
         files = W.write(made, f"file://{tmp_path}/shards").collect()
     assert len(list((tmp_path / "shards").iterdir())) == made.count()
+    (tmp_path / "shards" / "0000.wvlt.part").write_bytes(b"unfinished")
+    back = W.read(spark, f"file://{tmp_path}/shards")
+    assert sorted(map(tuple, back.collect())) == sorted((r.shard, r.file) for r in made.collect())
+    assert sorted((r.doc_id, r.place) for r in W.lookup(back.withColumn("token", back.shard), [token, 10**9]).collect()) == expected
+    assert W.lookup(made, []).count() == 0
     assert all(W.Shard(open(f.path, "rb").read()).size >= 0 for f in files)
     assert W.shards(docs.limit(0)).count() == 0
