@@ -6,14 +6,16 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, on one machine, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(path)
@@ -44,15 +46,47 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Rows up to which a table is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows up to which a table is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast, if counting up to the limit shows that it is small; Spark decides otherwise."""
-    from pyspark.sql import functions as F
+def _size(value: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((_size(value[f.name], f.dataType) for f in kind), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if (one := _least(kind.elementType)) and not _varies(kind.elementType):
+            return F.coalesce(F.size(value), F.lit(0)).cast("long") * one + 24
+        inner = F.aggregate(value, F.lit(24).cast("long"), lambda total, x: total + _size(x, kind.elementType))
+        return F.coalesce(inner, F.lit(24).cast("long"))
+    if isinstance(kind, T.MapType):
+        return _size(F.map_keys(value), T.ArrayType(kind.keyType)) + _size(F.map_values(value), T.ArrayType(kind.valueType))
+    return F.lit(8).cast("long")
 
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+def _varies(kind: T.DataType) -> bool:
+    return any(map(_varies, (f.dataType for f in kind))) if isinstance(kind, T.StructType) else isinstance(kind, T.StringType | T.BinaryType | T.ArrayType | T.MapType)
+
+
+def _least(kind: T.DataType) -> int:
+    if isinstance(kind, T.StructType):
+        return 8 + sum(_least(f.dataType) for f in kind)
+    return 24 if isinstance(kind, T.ArrayType | T.MapType) else 16 if isinstance(kind, T.StringType | T.BinaryType) else 8
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows take no more bytes than the limit; no more rows are looked at than could."""
+    most = limit // _least(df.schema) + 1
+    total = sum((_size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8).cast("long"))
+    rows, size = df.limit(most).select(total.alias("size")).agg(F.count("*"), F.sum("size")).first()
+    return rows < most and (size or 0) <= limit
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table marked for broadcast, if measuring it up to the limit in bytes shows that it is small; Spark decides otherwise. A costly table should be stored before."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
