@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import atexit
 import io
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a table of ids or short rows is broadcast; beyond, the join shuffles both sides.
-BROADCAST_ROWS = 2_000_000
 
+from quarry.storage import BROADCAST_BYTES
+from quarry.storage import broadcast_if_small as if_small
+from quarry.storage import remove as delete
+from quarry.storage import shared_folder as folder
 
 _shipped: set[str] = set()
 
@@ -37,23 +36,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, as in tests on one machine, a temporary one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def _gone(spark: SparkSession, path: str) -> None:
     try:
         delete(spark, path)
@@ -82,11 +64,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast if it has no more rows than the limit. It should be stored: it is counted first."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def without(docs: DataFrame, ids: DataFrame, id_col: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame, id_col: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The rows whose id isn't among the ids; a null id stays."""
     return docs.join(if_small(ids.select(id_col), limit), id_col, "left_anti").select(docs.columns)
