@@ -7,7 +7,8 @@ represented by a 64-bit hash of their folded bytes and by their byte range in th
 A null row is an empty one: it has no token.
 
 On demand, scripts that are written without blanks (Chinese, Japanese, Thai and the like) are split by character, and signs of
-theirs and fullwidth signs are no word characters.
+theirs and fullwidth signs are no word characters. On demand, signs that stand between blanks without a word character are a token, too, so
+that a text has no fewer tokens than it has pieces between blanks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ _POWERS = np.multiply.accumulate(_POWERS)
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -119,13 +122,33 @@ def _alone(raw: np.ndarray, word: np.ndarray) -> np.ndarray:
     return at[at < len(raw)]
 
 
-def _cuts(raw: np.ndarray, limit: int) -> list[int]:
-    """Places to cut at, just after an ASCII byte that belongs to no word, about limit bytes apart."""
+def _alone_signs(raw: np.ndarray, word: np.ndarray, first: np.ndarray) -> None:
+    """Marks signs between blanks, or a row's ends, that have no word character as if they were a word."""
+    blank = _BLANK[raw]
+    for lead, second, third in ((0xC2, (0x85, 0xA0), None), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,))):
+        at = np.flatnonzero(raw == lead)
+        at = at[at + (2 if third else 1) < len(raw)]
+        at = at[np.isin(raw[at + 1], second)]
+        if third:
+            at = at[np.isin(raw[at + 2], third)]
+        for k in range(3 if third else 2):
+            blank[at + k] = True
+    there = np.flatnonzero(~blank)
+    if not len(there):
+        return
+    begins = np.concatenate([[True], blank[there[1:] - 1]]) | first[there]
+    head = np.flatnonzero(begins)
+    lonely = ~np.logical_or.reduceat(word[there], head)
+    word[there[np.repeat(lonely, np.diff(np.append(head, len(there))))]] = True
+
+
+def _cuts(raw: np.ndarray, limit: int, end: np.ndarray) -> list[int]:
+    """Places to cut at, just after an ASCII byte that ends tokens, about limit bytes apart."""
     cuts, at = [0], 0
     while len(raw) - at > limit:
         stop, step = at + limit, limit
         while True:
-            other = np.flatnonzero(~_WORD[raw[stop : stop + step]])
+            other = np.flatnonzero(end[raw[stop : stop + step]])
             if len(other):
                 stop += int(other[0]) + 1
                 break
@@ -137,11 +160,11 @@ def _cuts(raw: np.ndarray, limit: int) -> list[int]:
     return [*cuts, len(raw)]
 
 
-def tokenize(column: pa.Array, scripts: bool = False) -> Tokens:
-    """Tokens of a column; with scripts, those written without blanks are split by character."""
+def tokenize(column: pa.Array, scripts: bool = False, signs: bool = False) -> Tokens:
+    """Tokens of a column; with scripts, those written without blanks are split by character; with signs, signs between blanks are tokens."""
     raw, offsets = utf8(column)
     hashes, starts, ends = [], [], []
-    cuts = _cuts(raw, _CHUNK)
+    cuts = _cuts(raw, _CHUNK, _BLANK if signs else ~_WORD)
     for a, b in zip(cuts, cuts[1:]):
         if a == b:
             continue
@@ -150,6 +173,8 @@ def tokenize(column: pa.Array, scripts: bool = False) -> Tokens:
         first = np.zeros(b - a, dtype=bool)
         rows = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
         first[rows] = True
+        if signs:
+            _alone_signs(raw[a:b], word, first)
         start = word & first
         start[0] |= word[0]
         start[1:] |= word[1:] & ~word[:-1]
