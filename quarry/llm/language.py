@@ -3,7 +3,7 @@
 A word's features are itself and the byte runs of LENGTHS bytes in it with its ends marked, hashed into BUCKETS rows of an
 embedding table. A document is the average of the embeddings of all its features; a linear softmax gives the
 probabilities. Table and weights are learnt together by stochastic gradient descent in numpy. On a held-out part a temperature
-is fitted, and the confidence below which a document is rejected, so that of those accepted few are wrong.
+is fitted that is higher for texts of few features, whose averages are less sure, and the confidence below which a document is rejected, so that of those accepted few are wrong.
 
 The model being linear, a word's features are looked up once for each distinct word of a batch.
 """
@@ -23,8 +23,10 @@ BUCKETS, DIM, LENGTHS = 1 << 16, 16, (2, 3, 4)
 #: Labelled documents of a language that the model learns from, at most: those first by a hash of their id.
 LEARN = 400
 EPOCHS, RATE = 5, 0.5
-#: Of held-out documents that are accepted so many may be wrong, and so many right ones may be rejected at most.
-WRONG, LOST = 0.005, 0.001
+#: Words of the parts of held-out documents that take part in calibration, and how many of each length a document gives.
+PARTS, EACH = (1, 2, 4, 8, 16), 2
+#: Of held-out documents that are accepted so many may be wrong, of whole ones and of those with a few words of each.
+WRONG = 0.005
 #: The language of a rejected document.
 UNKNOWN = "und"
 
@@ -74,15 +76,17 @@ def distinct_words(column: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray, np
 
 @dataclass
 class Model:
-    """scores: for each bucket the part of the logits that it gives; known: whether it was seen in learning."""
+    """scores: for each bucket the part of the logits that it gives; known: whether it was seen in learning; lost: the share of right held-out documents that are rejected."""
 
     languages: list[str]
     scores: np.ndarray
     bias: np.ndarray
     known: np.ndarray
     temperature: float = 1.0
+    spread: float = 0.0
     confidence: float = 0.5
     familiar: float = 0.5
+    lost: float = 0.0
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities, the share of features that were seen in learning, and the number of features, of each row."""
@@ -98,10 +102,14 @@ class Model:
         for c in range(k + 2):
             total[some, c] = np.add.reduceat(words[number, c], found.bounds[:-1][some])
         size = np.maximum(total[:, -1], 1)
-        return softmax((total[:, :k] / size[:, None] + self.bias) / self.temperature), total[:, k] / size, total[:, -1].astype(np.int64)
+        return softmax((total[:, :k] / size[:, None] + self.bias) / self._heat(size)), total[:, k] / size, total[:, -1].astype(np.int64)
+
+    def _heat(self, size: np.ndarray) -> np.ndarray:
+        """The temperature of texts of so many features."""
+        return self.temperature * np.sqrt(1 + self.spread / size)[:, None]
 
     def decide(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The most probable language's number, its probability, and whether it is accepted."""
+        """The most probable language's number, of equally probable ones the first by name, its probability, and whether it is accepted."""
         p, familiar, features = self.predict(column)
         if not self.languages:
             return np.zeros(len(p), dtype=np.int64), np.zeros(len(p)), np.zeros(len(p), dtype=bool)
@@ -160,31 +168,42 @@ def fit(texts: list[str], languages: list[str], epochs: int = EPOCHS, rate: floa
         known[rows[i][0]] = 1
     model = Model(names, table @ weights, bias, known)
     if len(held):
-        short = [(" ".join(words[k : k + n]), y[i]) for i in held for words in [texts[i].split()] for n in (1, 2, 4) if len(words) >= n for k in [int(rng.integers(len(words) - n + 1))]]
+        short = [(" ".join(words[k : k + n]), y[i]) for i in held for words in [texts[i].split()] for n in PARTS if len(words) >= n for k in rng.integers(len(words) - n + 1, size=EACH).tolist()]
         _calibrate(model, pa.array([texts[i] for i in held], pa.string()), y[held], pa.array([x for x, _ in short], pa.string()), np.array([k for _, k in short], dtype=np.int64))
     return model
 
 
 def _calibrate(model: Model, column: pa.Array, y: np.ndarray, short: pa.Array, short_y: np.ndarray) -> None:
-    """Temperature by the least loss over held-out documents and a few words of each; confidence by the errors among those accepted."""
-    whole, familiar, _ = model.predict(column)
-    p = np.concatenate([whole, model.predict(short)[0]])
-    both = np.concatenate([y, short_y])
-    logits = np.log(np.maximum(p, 1e-300))
-    grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
-    model.temperature = float(min(grid, key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(both)), both], 1e-12)).mean()))
-    p = softmax(logits / model.temperature)
+    """Temperature by the least loss over held-out documents and parts of each; confidence by the errors among those accepted."""
+    whole, familiar, size = model.predict(column)
+    part, _, part_size = model.predict(short)
+    size, both = np.maximum(np.concatenate([size, part_size]), 1), np.concatenate([y, short_y])
+    logits = np.log(np.maximum(np.concatenate([whole, part]), 1e-300))
+    places = np.arange(len(both)), both
+
+    def loss(heat: tuple[float, float]) -> float:
+        model.temperature, model.spread = heat
+        return float(-np.log(np.maximum(softmax(logits / model._heat(size))[places], 1e-12)).mean())
+
+    grid = [(float(t), c) for t in np.exp(np.linspace(np.log(0.05), np.log(5), 40)) for c in (0.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)]
+    model.temperature, model.spread = min(grid, key=loss)
+    p = softmax(logits / model._heat(size))
     top, right = p.max(axis=1), p.argmax(axis=1) == both
-    order = np.argsort(-top, kind="stable")
-    wrong = np.cumsum(~right[order]) / np.arange(1, len(both) + 1)
-    enough = np.flatnonzero(wrong <= WRONG)
-    limit = top[order[enough[-1]]] if len(enough) else 1.0
-    own, good = top[: len(y)], right[: len(y)]
-    most = np.quantile(own[good], LOST) if good.any() else 0.0
-    model.confidence = float(min(limit, most))
+    own = slice(0, len(y))
+    model.confidence = max(_limit(top, right), _limit(top[own], right[own]))
+    model.lost = float((top[own][right[own]] < model.confidence).mean()) if right[own].any() else 0.0
     model.familiar = float(0.5 * familiar.min())
 
 
+def _limit(top: np.ndarray, right: np.ndarray) -> float:
+    """The least confidence from which on no more than the allowed share is wrong; above 1 if there is none."""
+    order = np.argsort(-top, kind="stable")
+    top, wrong = top[order], np.cumsum(~right[order]) / np.arange(1, len(top) + 1)
+    last = np.append(top[1:] != top[:-1], True)  # equal ones are accepted together
+    enough = np.flatnonzero(last & (wrong <= WRONG))
+    return float(top[enough[-1]]) if len(enough) else float(np.nextafter(1, 2))
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = LEARN) -> Model:
     """The model of at most so many documents of each language; rows without a language or words teach nothing. Without any, it rejects all."""
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(11), id_col).alias("h")).where(f"lang is not null and lang <> '{UNKNOWN}' and id is not null")
@@ -204,7 +223,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, language, best, confidence, accepted) of every row, from its whole text; language is that of the best guess, or und if it is rejected.
 
     Null, empty and wordless texts are rejected with confidence 0 and no best guess; a null id stays null; repeated rows each
-    have a row. An empty table gives no row. Other columns aren't looked at.
+    have a row. A text may be of any length; of equally probable languages the first by name is the guess. An empty table gives no row. Other columns aren't looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

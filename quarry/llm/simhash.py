@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.shared import Workspace, without
+from quarry.llm.shared import Workspace, if_small, without
 from quarry.llm.tokens import grams, mix, slices, tokenize
 
 BITS = 256
@@ -34,7 +34,7 @@ _WORDS = [f"s{k}" for k in range(BITS // 64)]
 
 def sign(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the rows as 64-bit words, and the number of features of each; a row without a word has none."""
-    found = tokenize(column)
+    found = tokenize(column, scripts=True)
     n = len(found.bounds) - 1
     out, counts = np.zeros((n, BITS), dtype=bool), np.zeros(n, dtype=np.int64)
     for i in range(n):
@@ -186,24 +186,42 @@ def links(sigs: DataFrame, count: int, distance: int = DISTANCE, recall: float =
     return keyed.groupBy("t", "key").applyInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, recall: float = RECALL, cap: int = CAP) -> DataFrame:
-    """(group_id, doc_id, keep) of every document in a group of two or more; the one with the least id is kept and names the group.
-
-    Null and empty texts and texts without a word are in no group, neither are rows whose id is null.
-    Rows that repeat an id are one document; a document alone in its group has no row. Other columns aren't looked at.
-    """
-    work = Workspace(docs.sparkSession, "simhash")
+def _groups(work: Workspace, docs: DataFrame, id_col: str, text_col: str, distance: int, recall: float, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of groups(), and the ids that stand on several rows with a word."""
     sigs = work.store(signatures(docs, id_col, text_col), "signatures")
+    again = work.store(sigs.groupBy("id").count().where("count > 1").select("id"), "again")
     merged = work.store(sigs.groupBy(*_WORDS).agg(F.min("id").alias("id")), "distinct")
     near = work.store(links(merged, merged.count(), distance, recall, cap).distinct(), "near")
     same = sigs.join(merged.withColumnRenamed("id", "least"), _WORDS).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     found = components(near.union(same), work)
     work.drop("near", "signatures", "distinct")
+    return found, again
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, recall: float = RECALL, cap: int = CAP) -> DataFrame:
+    """(group_id, doc_id, keep) of every document in a group of two or more; the one with the least id is kept and names the group.
+
+    Null and empty texts and texts without a word are in no group, neither are rows whose id is null; an empty table gives no row.
+    Rows that repeat an id are one document; a document alone in its group has no row. A text may be of any length. Other columns aren't looked at.
+
+    While no bucket has more signatures than the cap and there are at most TARGET, every pair within the distance is found; beyond, a pair at just the distance is found with a probability
+    of recall at least, nearer ones more surely, and links over other members of a group add to that.
+    """
+    found, _ = _groups(Workspace(docs.sparkSession, "simhash"), docs, id_col, text_col, distance, recall, cap)
     return found.select(F.col("root").alias("group_id"), F.col("node").alias(id_col), (F.col("node") == F.col("root")).alias("keep"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those that groups() doesn't keep; documents in no group stay as they are."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, recall: float = RECALL, cap: int = CAP) -> DataFrame:
+    """The documents without those that groups() doesn't keep; documents in no group stay as they are, with all their columns.
+
+    Of rows that repeat an id and a text with a word one stays, any of them. Rows without an id, and null, empty and wordless texts, stay. An empty table stays empty.
+    """
     work = Workspace(docs.sparkSession, "simhash-drop")
-    gone = work.store(groups(docs, id_col, text_col, **options).where("not keep").select(id_col), "gone")
-    return without(docs, gone, id_col)
+    found, again = _groups(work, docs, id_col, text_col, distance, recall, cap)
+    gone = work.store(found.where("node <> root").select(F.col("node").alias(id_col)), "gone")
+    kept = without(docs, gone, id_col)
+    if again.isEmpty():
+        return kept
+    again = again.withColumnRenamed("id", id_col)
+    several = docs.select("*").join(if_small(without(again, gone, id_col)), id_col, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col])
+    return without(kept, again, id_col).union(several)

@@ -2,7 +2,7 @@
 
 Texts are folded (case, accents, lookalike letters of other scripts, digits and signs that stand for letters,
 invisible characters), so that every word is lower-case Latin between single blanks. One Aho-Corasick automaton
-finds all lexicon entries and exception phrases; an exception cancels the weight of the entries within it.
+finds all lexicon entries and exception phrases; an entry within an exception, or within several, doesn't count.
 The score is the summed weight for each word of the document; documents from a threshold on are toxic.
 Weights, further entries and the threshold are learnt from labelled documents where there are any.
 """
@@ -134,17 +134,15 @@ class Lexicon:
             single.add_word(x, v)
         if values:
             single.make_automaton()
-        found = dict(values)
+        out = ahocorasick.Automaton()
+        for x, v in values.items():
+            out.add_word(x, (v, len(x)))
         for x in self.exceptions:
             for form in {x, x + "s"}:
                 phrase = f" {_pattern(form)} "
-                inner = sum(v for _, v in single.iter(phrase)) if values else 0.0
-                if inner and phrase not in found:
-                    found[phrase] = -inner
-        out = ahocorasick.Automaton()
-        for x, v in found.items():
-            out.add_word(x, v)
-        if found:
+                if phrase not in values and values and any(True for _ in single.iter(phrase)):
+                    out.add_word(phrase, (0.0, len(phrase)))
+        if len(out):
             out.make_automaton()
         return out
 
@@ -158,9 +156,12 @@ def scores(automaton: ahocorasick.Automaton, texts: list[str | None]) -> tuple[n
     if len(automaton):
         hits = list(automaton.iter(codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")))
         if hits:
-            at = np.fromiter((x for x, _ in hits), dtype=np.int64, count=len(hits))
-            np.add.at(weight, np.searchsorted(starts, at, side="right") - 1, np.fromiter((v for _, v in hits), dtype=float, count=len(hits)))
-    weight = np.maximum(weight, 0.0)
+            stop, value, size = (np.fromiter(x, dtype=t, count=len(hits)) for x, t in (((x for x, _ in hits), np.int64), ((v for _, (v, _) in hits), float), ((n for _, (_, n) in hits), np.int64)))
+            start, phrase = stop - size, value == 0
+            order = np.argsort(start[phrase], kind="stable")
+            begins, ends = start[phrase][order], np.maximum.accumulate(np.append(np.int64(-1), stop[phrase][order]))
+            counts = ~phrase & (ends[np.searchsorted(begins, start, side="right")] < stop)  # no exception that begins before ends after it
+            np.add.at(weight, np.searchsorted(starts, stop[counts], side="right") - 1, value[counts])
     return weight / np.maximum(words, 1), weight, words
 
 
@@ -214,20 +215,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(scores(automaton, part.column("text").to_pylist())[0])], ["toxic", "score"])
 
     marks = [(r.score, r.toxic) for r in sample.select("toxic", "text").mapInArrow(score, "toxic int, score double").collect()]
-    lexicon.threshold = _threshold(marks)
+    shares = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    lexicon.threshold = _threshold(marks, shares)
     work.drop("sample")
     return lexicon
 
 
-def _threshold(marks: list[tuple[float, int]]) -> float:
-    """The score from which on the fewest labelled documents are on the wrong side, in the middle of the gap there; clean ones count at equal share with toxic ones."""
+def _threshold(marks: list[tuple[float, int]], shares: dict[int, int]) -> float:
+    """The score from which on the fewest labelled documents are on the wrong side, in the middle of the gap there.
+
+    Each kind counts by its share among all labels, so that the bounds of the sample don't matter. Without two different scores it is THRESHOLD.
+    """
     marks = sorted(marks)
     x, y = np.array([m[0] for m in marks]), np.array([m[1] for m in marks])
     cuts = np.unique(x)
     if len(cuts) < 2:
         return THRESHOLD
-    missed = np.array([(y[: np.searchsorted(x, c)] == 1).sum() for c in cuts[1:]])
-    wrong = np.array([(y[np.searchsorted(x, c) :] == 0).sum() for c in cuts[1:]])
+    each = {k: shares.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)}
+    toxic, clean = np.sort(x[y == 1]), np.sort(x[y == 0])
+    missed = np.searchsorted(toxic, cuts[1:]) * each[1]
+    wrong = (len(clean) - np.searchsorted(clean, cuts[1:])) * each[0]
     best = int(np.argmin(missed + wrong))
     return float((cuts[best] + cuts[best + 1]) / 2)
 
@@ -235,7 +242,8 @@ def _threshold(marks: list[tuple[float, int]]) -> float:
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words, weight, score, toxic) of every row, in whole texts.
 
-    Null, empty and wordless texts score 0 and aren't toxic; a null id stays null; repeated rows each have a row.
+    Null, empty and wordless texts score 0 and aren't toxic; a null id stays null; repeated rows each have a row. A text may be of any length; one that scores just the threshold is toxic.
+    An empty table gives no row. Other columns aren't looked at.
     """
     automaton, threshold = lexicon.automaton(), lexicon.threshold
 
@@ -250,7 +258,10 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The rows that aren't toxic, with all their columns."""
+    """The rows that aren't toxic by score(), with all their columns, whatever these are called.
+
+    Null, empty and wordless texts and null ids stay; repeated rows stay or go together; an empty table stays empty.
+    """
     automaton, threshold = lexicon.automaton(), lexicon.threshold
 
     def run(batches):

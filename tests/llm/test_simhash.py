@@ -124,9 +124,24 @@ def test_nulls_and_more(spark):
     assert got(simhash.groups(docs)) == [(1, 1, True), (1, 2, False)]
     left = simhash.deduplicate(docs)
     assert left.columns == docs.columns and sorted(r.group_id for r in left.collect()) == ["a", "c", "d", "e", "f", "g", "i"]
+    again = docs.union(docs.where("doc_id in (1, 7)")).union(docs.where("doc_id = 1")).union(spark.createDataFrame([(7, "a text of its own", "j")], docs.schema))
+    assert sorted(r.group_id for r in simhash.deduplicate(again).collect()) == ["a", "c", "d", "e", "f", "g", "i", "j"]
     assert got(simhash.groups(docs.limit(0))) == [] and simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_scripts_without_blanks(spark):
+    """A Chinese and a Thai text with a few characters changed are near copies; others of their script aren't."""
+    rng = random.Random(6)
+    rows = []
+    for low, n in ((0x4E00, 2000), (0x0E01, 40)):
+        text = [chr(low + rng.randrange(n)) for _ in range(400)]
+        copy = list(text)
+        copy[7] = copy[200] = chr(low + 3)
+        rows += ["".join(text), "".join(copy), "".join(chr(low + rng.randrange(n)) for _ in range(400))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert got(simhash.groups(docs)) == [(0, 0, True), (0, 1, False), (3, 3, True), (3, 4, False)]
+
+
 def test_very_long_text(spark):
     rng = random.Random(4)
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))

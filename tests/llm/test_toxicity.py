@@ -1,10 +1,11 @@
+import math
 import random
 
 import pytest
 
 from quarry.llm import toxicity as T
 
-LEXICON = T.Lexicon({"idiot": 1.0, "scum": 0.5, "trash": 1.0}, {"vilen": 1.0}, ("trash can", "pond scum"), 0.1)
+LEXICON = T.Lexicon({"idiot": 1.0, "scum": 0.5, "trash": 1.0}, {"vilen": 1.0}, ("trash can", "pond scum", "can idiot", "scum trash can"), 0.1)
 
 
 def plain(text):
@@ -24,7 +25,7 @@ def plain(text):
     return weight, len(words)
 
 
-@pytest.mark.parametrize("text", ["You idiot", "IDIOTS!", "1d10t", "idіоt", "ídiòt", "i​diot", "tra$h", "an idiotic idea", "trash cans and trash", "pond scum, scum", "vilenesses vilen", "", "!!!", "Tom is", "@ home 4 you"])
+@pytest.mark.parametrize("text", ["You idiot", "IDIOTS!", "1d10t", "idіоt", "ídiòt", "i​diot", "tra$h", "an idiotic idea", "trash cans and trash", "pond scum, scum", "vilenesses vilen", "", "!!!", "Tom is", "@ home 4 you", "trash can idiot scum", "pond scum trash can idiot idiot", "you idiot\U0001f600", "\U0001f621idiot\U0001f621", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "scum 中文\U00020000 idiot"])
 def test_as_plain(text):
     value, weight, words = T.scores(LEXICON.automaton(), [text])
     expected, n = plain(text)
@@ -40,6 +41,65 @@ def test_random_texts():
         assert (pytest.approx(w), n) == plain(t)
 
 
+def test_overlapping_exceptions_cancel_once():
+    lexicon = T.Lexicon(dict(T.WORDS))
+    _, weight, _ = T.scores(lexicon.automaton(), ["circus clown car idiot", "circus clown car", "clown"])
+    assert weight.tolist() == [1.0, 0.0, 1.0]
+
+
+def test_threshold_as_every_cut():
+    """The least cost over all cuts between two scores, each kind weighted by its share among all labels."""
+    rng = random.Random(3)
+    for _ in range(50):
+        marks = [(rng.randrange(12) / 10, int(rng.random() < 0.4)) for _ in range(rng.randrange(2, 40))]
+        shares = {0: rng.randrange(1, 1000), 1: rng.randrange(1, 1000)}
+        values = sorted({x for x, _ in marks})
+        if len(values) < 2:
+            assert T._threshold(marks, shares) == T.THRESHOLD
+            continue
+        n = {k: max(1, sum(y == k for _, y in marks)) for k in (0, 1)}
+        cost = lambda c: sum(shares[1] / n[1] for x, y in marks if y and x < c) + sum(shares[0] / n[0] for x, y in marks if not y and x >= c)  # noqa: E731, B023
+        cuts = [(a + b) / 2 for a, b in zip(values, values[1:])]
+        assert cost(T._threshold(marks, shares)) == pytest.approx(min(map(cost, cuts)))
+
+
+def test_learnt_entries_as_counted_one_by_one(spark):
+    """Entries and weights by plain counting of distinct words and following words."""
+    rng = random.Random(8)
+    common = [f"wort{i}" for i in range(40)]
+    rows, marks = [], []
+    for i in range(120):
+        toxic = i % 3 == 0
+        text = [rng.choice(common) for _ in range(25)]
+        if toxic:
+            for _ in range(4):
+                text.insert(rng.randrange(len(text)), rng.choice(["grobix", "grobixen", "Gr0bixa", "flumm"]))
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(toxic)))
+    found = T.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    pairs, totals = {0: set(), 1: set()}, [0, 0]
+    for (_, text), (_, k) in zip(rows, marks):
+        codes, _ = T.fold([text])
+        words = codes.astype("<u4").tobytes().decode("utf-32-le").split()
+        totals[k] += len(words)
+        pairs[k] |= {(w, n) for w, n in zip(words, [*words[1:], ""]) if len(w) >= 4}
+    counts = {}
+    for k in (0, 1):
+        for w, _ in pairs[k]:
+            for form in {w + " ", *(w[:n] for n in T.PREFIX if len(w) >= n)}:
+                counts.setdefault(form, [0, 0])[k] += 1
+    fine = {}
+    for form, (c, t) in counts.items():
+        ratio = math.log((t + 0.5) / totals[1]) - math.log((c + 0.5) / totals[0])
+        low = ratio - T.ERRORS * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if t >= T.CONTEXTS and low >= math.log(T.LIFT) and ratio >= math.log(T.PURE):
+            fine[form] = min(1.0, low / (2 * math.log(T.LIFT)))
+    starts = {f: v for f, v in fine.items() if not f.endswith(" ") and not any(g != f and f.startswith(g) for g in fine if not g.endswith(" "))}
+    assert starts and {f[:4] for f in starts} == {T._pattern("grob"), T._pattern("flum")}
+    assert found.prefixes == pytest.approx(starts)
+    assert {w for w in found.words if w not in T.WORDS} == {f.strip() for f in fine if f.endswith(" ") and not any(f.startswith(g) for g in starts)}
+
+
 def test_disguises_fold_alike():
     for x in ("id1ot", "IDIOT", "ｉｄｉｏｔ", "ídiot", "іdіоt", "!diot"):
         assert T._pattern(x) == T._pattern("idiot")
