@@ -23,9 +23,12 @@ class BM25:
             raise ValueError("give a file or documents")
         self.spark, self.k1, self.b, self.threshold = spark, k1, b, bloom_df_threshold
         self.in_memory = documents is not None and not isinstance(documents, DataFrame)
-        given = sources.with_ids(sources.read(spark, filename)) if filename is not None else sources.documents(spark, documents)
-        self.records = given
-        self.index = SearchIndex.build(given, search_cols or given.columns[1:], "doc_id", tokenizer, stopwords).stored()
+        if filename is not None or isinstance(documents, DataFrame):
+            given = documents if filename is None else sources.read(spark, filename)
+            self.records = sources.with_ids(given, sources.free_name(given.columns, "doc_id"))  # stored: a file is parsed once
+        else:
+            self.records = sources.documents(spark, documents)
+        self.index = SearchIndex.build(self.records, search_cols or self.records.columns[1:], self.records.columns[0], tokenizer, stopwords).stored()
 
     def columns(self) -> list[str]:
         return rank.ordered_columns(self.records.columns[1:], self.index.fields)
@@ -47,6 +50,8 @@ class BM25:
 
     def search(self, queries: DataFrame, k: int | None = 10, query_max_df: int | None = None, relax: bool = False) -> DataFrame:
         """(query_id, rank, doc_id, score) of a query table, many queries in one job."""
+        if k is not None and not 1 <= k <= MOST:
+            raise ValueError(f"k is from 1 to {MOST}, or None for all")
         if self.threshold is not None:
             return rank.candidates(self.index, queries, self.threshold, k, self.k1, self.b, query_max_df)
         return rank.bm25(self.index, queries, k, self.k1, self.b, query_max_df, relax)
@@ -66,8 +71,9 @@ class BM25:
         return [r["score"] for r in rows], [r["doc_id"] for r in rows]
 
     def get_topk_docs(self, query: str | Mapping[str, str] | None, k: int = 10, query_max_df: int | None = None, boost_factors: Sequence[float] | Mapping[str, float] | None = None) -> list[dict]:
-        """Records with their scores, best first."""
+        """Records with their scores, best first. A record's own score is left out."""
         if self.in_memory:
             raise RuntimeError("documents in memory have no records to fetch; use get_topk_indices")
-        found = rank.with_records(self.search(self._asked(query, boost_factors), k, query_max_df), self.records)
-        return [{**{c: r[c] for c in self.records.columns[1:]}, "score": r["score"]} for r in found.orderBy(F.asc("rank")).collect()]
+        found = rank.with_records(self.search(self._asked(query, boost_factors), k, query_max_df), self.records, self.records.columns[0], rank_col="", score_col="")
+        own = [c for c in self.records.columns[1:] if c.lower() != "score"]
+        return [{**{c: r[c] for c in own}, "score": r[-1]} for r in found.orderBy(F.asc(found.columns[-2])).collect()]

@@ -23,6 +23,37 @@ def vbyte(value: Column) -> Column:
     return F.array_join(F.transform(marked, lambda c: F.lpad(F.hex(c), 2, "0")), "")
 
 
+def vbyte_decode(code: Column, first: int | None = None) -> Column:
+    """The numbers of codes one after another in a hexadecimal text, or the first of them only: what lies behind isn't looked at. A code without its last byte is left out."""
+    byte = lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    places = F.filter(F.sequence(F.lit(0), F.floor(F.length(code) / 2).cast("int")), lambda i: i < F.floor(F.length(code) / 2))
+    none = F.array().cast("array<bigint>")
+    start = F.struct(none.alias("done"), F.lit(0).cast("long").alias("now"), F.lit(0).alias("shift"))
+
+    def take(state: Column, i: Column) -> Column:
+        b = byte(i)
+        now = state["now"].bitwiseOR(F.call_function("shiftleft", b.bitwiseAND(F.lit(127).cast("long")), state["shift"]))
+        end = b < 128
+        full = F.lit(False) if first is None else F.size(state["done"]) >= first
+        after = F.struct(F.when(end, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"), F.when(end, F.lit(0).cast("long")).otherwise(now).alias("now"), F.when(end, F.lit(0)).otherwise(state["shift"] + 7).alias("shift"))
+        return F.when(full, state).otherwise(after)
+
+    return F.aggregate(places, start, take, lambda state: state["done"])
+
+
+def from_gaps(gaps: DataFrame, place: str = "place") -> DataFrame:
+    """(field, term, place, doc_id) of gaps in their order: the inverse of delta_gaps()."""
+    order = Window.partitionBy("field", "term").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return gaps.select("field", "term", place, F.sum("gap").over(order).alias("doc_id"))
+
+
+def from_run_lengths(runs: DataFrame) -> DataFrame:
+    """(field, term, place, tf): each frequency at its place, from 1, in the term's list: the inverse of run_lengths()."""
+    order = Window.partitionBy("field", "term").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("before", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    return placed.select("field", "term", "tf", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("length"))).alias("i")).select("field", "term", (F.col("before") + F.col("i")).alias("place"), "tf")
+
+
 def delta_gaps(postings: DataFrame) -> DataFrame:
     """(field, term, doc_id, gap): each document id less the one before it in the term's list; the first is itself."""
     order = Window.partitionBy("field", "term").orderBy("doc_id")

@@ -6,7 +6,8 @@ lengths     field, doc_id, dl
 stats       field, num_docs, avgdl, num_terms, num_postings, num_tokens
 
 A saved index is partitioned by bucket, a hash of the term, so that a join with a few query terms reads their buckets only,
-and sorted by field and term in each, so that row groups without them are skipped.
+and sorted by field and term in each file, so that row groups without them are skipped. A bucket that is large, be it by one term that is in every document, is
+written by several tasks as several files: adaptive execution splits it by size.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ class SearchIndex:
         if exists(self.spark, path):
             remove(self.spark, path)
         self.lengths.write.parquet(f"{path}/lengths")
-        self.postings.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "field", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self.postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
         postings = _read(self.spark, self.postings, f"{path}/postings")
         dictionary, lengths, _ = _derived(postings, _read(self.spark, self.lengths, f"{path}/lengths"), self.buckets)
         dictionary.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{path}/dictionary")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import space_tokens
 from quarry.operators.index import SearchIndex
-from quarry.storage import broadcast_if_small
+from quarry.sources import free_name
+from quarry.storage import broadcast_if_small, is_small
 
 K1, B, K, DIGITS = 1.2, 0.4, 10, 4
 #: Weights below that of a term in a hundredth of all documents, or below this part of the query's mean, admit no document.
@@ -18,6 +19,8 @@ RARE, MEAN, PHRASE = 7.643856189774724, 0.4, 0.75
 SEEDS = 1000
 #: Distinct query terms up to which the index is asked for them by name.
 LOOKUP = 2000
+#: Bytes of query terms up to which they are broadcast; what is made of them is at most a few times wider.
+SENT = 16 << 20
 
 Send = Callable[[DataFrame], DataFrame]
 
@@ -66,11 +69,16 @@ def _narrowed(asked: DataFrame, index: SearchIndex) -> tuple[SearchIndex, Send]:
     Up to LOOKUP terms are literals: their buckets are the only folders read, row groups without them are skipped, and where the
     index isn't saved they are filtered before anything is counted.
     """
+    send = F.broadcast if is_small(asked, SENT) else _as_it_is  # what is sent later has no more rows than this table
     rows = asked.select("bucket", "term").distinct().limit(LOOKUP + 1).collect()
     if len(rows) > LOOKUP:
-        return index, broadcast_if_small
+        return index, send
     wanted = F.col("bucket").isin(sorted({r["bucket"] for r in rows})) & F.col("term").isin(sorted({r["term"] for r in rows}))
-    return replace(index, postings=index.postings.where(wanted), dictionary=index.dictionary.where(wanted)), F.broadcast
+    return replace(index, postings=index.postings.where(wanted), dictionary=index.dictionary.where(wanted)), send
+
+
+def _as_it_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def _known(queries: DataFrame, index: SearchIndex) -> tuple[DataFrame, SearchIndex, Send]:
@@ -186,10 +194,15 @@ def idf_phrase(index: SearchIndex, queries: DataFrame, k: int | None = K) -> Dat
     return top(_summed(scored), k)
 
 
-def with_records(results: DataFrame, records: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The results with the columns of their records; results are few, so they are sent to where the records are."""
-    named = results.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else results
-    return records.join(broadcast_if_small(named), id_col)
+def with_records(results: DataFrame, records: DataFrame, id_col: str = "doc_id", rank_col: str = "rank", score_col: str = "score") -> DataFrame:
+    """The records of the results, with rank and score as the last columns; results are few, so they are sent to where the records are.
+
+    A record's column that is named like one of these two is left out; without a name, they get one that no column has.
+    """
+    rank_col, score_col = rank_col or free_name(records.columns, "rank"), score_col or free_name(records.columns, "score")
+    own = [c for c in records.columns if c.lower() not in (rank_col.lower(), score_col.lower())]
+    found = results.select(F.col("doc_id").alias(id_col), F.col("rank").alias(rank_col), F.col("score").alias(score_col))
+    return records.select(*(F.col(f"`{c}`") for c in own)).join(broadcast_if_small(found), id_col).select(*(F.col(f"`{c}`") for c in own), rank_col, score_col)
 
 
 def record_json(df: DataFrame, columns: Sequence[str], score_col: str = "score") -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import sketch_tokens
-from quarry.storage import broadcast_if_small
+from quarry.storage import BROADCAST_BYTES, small_parts
 
 #: Bits of a block, in words of 32; eight blocks hold the same bits in other places, so one is stored and counts so often.
 BITS, WORD, BLOCKS = 128, 32, 8
@@ -38,16 +39,23 @@ def queries(df: DataFrame, id_col: str = "query_id", text_col: str = "text") ->
     return signatures(df.select(F.col(id_col).cast("long").alias("query_id"), sketch_tokens(F.col(text_col)).alias("toks")), ("query_id",))
 
 
-def overlap(docs: DataFrame, asked: DataFrame, boosts: dict[str, float] | None = None, k: int = 10) -> DataFrame:
-    """(query_id, rank, doc_id, score): documents by the bits they share with the query, over all fields with their boosts."""
+def overlap(docs: DataFrame, asked: DataFrame, boosts: dict[str, float] | None = None, k: int = 10, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, rank, doc_id, score): documents by the bits they share with the query, over all fields with their boosts.
+
+    Queries go to every task in blocks of so many bytes, so that no document is shuffled by a word, of which there are few.
+    """
     weight = F.lit(1.0)
     for field, boost in (boosts or {}).items():
         weight = F.when(F.col("field") == field, F.lit(float(boost))).otherwise(weight)
     shared = F.bit_count(F.col("bits").bitwiseAND(F.col("asked"))).cast("long") * BLOCKS
-    both = docs.join(broadcast_if_small(asked.withColumnRenamed("bits", "asked")), "word")
-    scores = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight * shared), 4).alias("score")).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+    def best(part: DataFrame) -> DataFrame:
+        both = docs.join(part, "word")
+        scores = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight * shared), 4).alias("score")).where("score > 0")
+        return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+    return reduce(DataFrame.union, map(best, small_parts(asked.withColumnRenamed("bits", "asked"), "query_id", limit)))
 
 
 def sign_words(vector: Column, dim: int) -> list[Column]:
@@ -58,15 +66,19 @@ def sign_words(vector: Column, dim: int) -> list[Column]:
     return [F.aggregate(bits(w), zero, lambda s, x: s + x) for w in range(-(-dim // WORD))]
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, dim: int, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, asked: DataFrame, dim: int, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, distance) of the k vectors with the fewest signs unlike the query's, the query itself among them.
 
-    The search is exhaustive: asked, of a checked size, goes to every task, and each keeps its best before anything is shuffled.
+    The search is exhaustive: asked goes to every task in blocks of so many bytes, and each task keeps its best before anything is shuffled.
     """
     words = -(-dim // WORD)
     signed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), *(w.alias(f"w{i}") for i, w in enumerate(sign_words(F.col(vector_col), dim))))
     wanted = asked.select(F.col(id_col).cast("long").alias("query_id"), *(w.alias(f"q{i}") for i, w in enumerate(sign_words(F.col(vector_col), dim))))
     distance = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"q{i}"))).cast("long") for i in range(words)), F.lit(0).cast("long"))
-    pairs = signed.crossJoin(broadcast_if_small(wanted)).select("query_id", "vec_id", distance.alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+
+    def best(part: DataFrame) -> DataFrame:
+        pairs = signed.join(part).select("query_id", "vec_id", distance.alias("distance"))
+        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+
+    return reduce(DataFrame.union, map(best, small_parts(wanted, "query_id", limit)))

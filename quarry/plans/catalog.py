@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import sources
@@ -443,6 +443,29 @@ def rle_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.run_lengths(documents_index(spark, sf_dir).postings).select("term", "run", "tf", "length")
 
 
+@query("SELECT o_custkey, array_to_string(keys, ',') AS keys, array_to_string(keys[1:3], ',') AS first FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS keys FROM orders GROUP BY ALL)")
+def vbyte_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    coded = lists.select("o_custkey", F.array_join(F.transform("keys", codec.vbyte), "").alias("code"))
+    text = lambda c, name: F.array_join(c, ",").alias(name)
+    return coded.select("o_custkey", text(codec.vbyte_decode(F.col("code")), "keys"), text(codec.vbyte_decode(F.col("code"), 3), "first"))
+
+
+_PLACED = "placed AS (SELECT term, doc_id, tf, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS place FROM postings)"
+
+
+@query(f"WITH {_DOCS}, {_PLACED} SELECT term, place::BIGINT AS place, doc_id FROM placed")
+def gaps_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = codec.delta_gaps(documents_index(spark, sf_dir).postings)
+    placed = gaps.select("field", "term", "gap", F.row_number().over(Window.partitionBy("field", "term").orderBy("doc_id")).cast("long").alias("place"))
+    return codec.from_gaps(placed).select("term", "place", "doc_id")
+
+
+@query(f"WITH {_DOCS}, {_PLACED} SELECT term, place::BIGINT AS place, tf FROM placed")
+def rle_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.from_run_lengths(codec.run_lengths(documents_index(spark, sf_dir).postings)).select("term", "place", "tf")
+
+
 @query("""SELECT c_custkey, CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END::BIGINT AS hash FROM (
 SELECT c_custkey, list_reduce([14695981039346656037::HUGEINT] || list_transform(range(8), lambda i: ((c_custkey >> (8 * i)::INT) & 255)::HUGEINT), lambda a, b: (xor(a, b) * 435 + (xor(a, b) % 16777216) * 1099511627776) % 18446744073709551616) AS h FROM customer)""")
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,3 +503,57 @@ def save_load_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     SearchIndex.build(rows, ["role", "text"], "id").save(path)
     index = SearchIndex.load(spark, path)
     return rank.bm25(index, rank.queries_of(spark, "the stupid user of", index.fields), k=100)
+
+
+_NATIONS = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS doc_id, n_name, n_nationkey::VARCHAR AS n_nationkey FROM nation"
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> list:
+    return table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+
+
+@query(f"SELECT doc_id, n_name AS text FROM ({_NATIONS})")
+def memory_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.documents(spark, [r["n_name"] for r in _nations(spark, sf_dir)])
+
+
+@query(f"SELECT doc_id, n_name AS field0, n_nationkey AS field1 FROM ({_NATIONS})")
+def memory_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.documents(spark, [(r["n_name"], r["n_nationkey"]) for r in _nations(spark, sf_dir)])
+
+
+@query(_NATIONS)
+def memory_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.documents(spark, [{"n_name": r["n_name"], "n_nationkey": r["n_nationkey"]} for r in _nations(spark, sf_dir)])
+
+
+@query(_NATIONS)
+def memory_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.documents(spark, table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name", "n_nationkey").toPandas())
+
+
+@query("SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice', 'score']) AS header, unnest(range(7)) AS place")
+def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = sources.headers(spark, f"{sf_dir}/part.parquet")
+    return spark.createDataFrame([(c, i) for i, c in enumerate(names)], "header string, place long")
+
+
+@query(sql.bm25(_PART, sql.asked_rows(PART, {})))
+def bm25_unknown_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that the index doesn't have are left out of a query."""
+    index = _part_index(spark, sf_dir)
+    return rank.bm25(index, rank.queries_of(spark, {**PART, "p_colour": "blue"}, index.fields, {"p_colour": 5.0}))
+
+
+_LINES = sql.index("part", "p_partkey", ["p_name"])
+
+
+@query(f"SELECT p.p_partkey::VARCHAR AS p_partkey, p.p_name, p.p_type, r.rank, r.score FROM ({sql.bm25(_LINES, sql.asked_rows({'p_name': 'blue steel'}, {}), k=None)}) r JOIN part p ON p.p_partkey = r.doc_id")
+def json_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of a JSON file that a query finds."""
+    path = new_folder(spark, "lines")
+    sources.write_json(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), path)
+    records = sources.read_json(spark, path, ["p_partkey", "p_name", "p_type"])
+    index = SearchIndex.build(records, ["p_name"], "p_partkey").stored()
+    found = rank.bm25(index, rank.queries_of(spark, "blue steel", index.fields), k=None)
+    return rank.with_records(found.withColumn("doc_id", F.col("doc_id").cast("string")), records, "p_partkey")

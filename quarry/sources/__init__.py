@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["documents", "headers", "read", "read_csv", "read_json", "read_parquet", "resolve", "with_ids", "write_csv", "write_json"]
+from quarry.storage import new_folder
+
+__all__ = ["documents", "free_name", "headers", "read", "read_csv", "read_json", "read_parquet", "resolve", "with_ids", "write_csv", "write_json"]
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header: quoted fields may hold commas, line ends and doubled quotes. Every column is text; an empty field is empty text."""
-    df = spark.read.options(header=True, multiLine=True, quote='"', escape='"', inferSchema=False, mode="PERMISSIVE").csv(path)
-    return df.na.fill("")
+    """CSV with a header: quoted fields may hold commas, line ends and doubled quotes. Every column is text; an empty field is empty text.
+
+    Where more than one task could read the files, their lines are looked at first: if each has an even number of quotes, no field holds a line end,
+    and the files are split; else each file is one task's, and its records are spread over all tasks.
+    """
+    own = {"header": True, "quote": '"', "escape": '"', "inferSchema": False, "mode": "PERMISSIVE"}
+    lines = spark.read.text(path)
+    one = lines.rdd.getNumPartitions() <= 1
+    split = not one and lines.where(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1).isEmpty()
+    df = spark.read.options(multiLine=not split, **own).csv(path)
+    return (df if split or one else df.repartition(spark.sparkContext.defaultParallelism)).na.fill("")
 
 
 def read_json(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -51,17 +61,34 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def free_name(columns: Sequence[str], wanted: str) -> str:
+    """A name like the wanted one that no column has."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def with_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
-    """Rows numbered from 0 in the order of the input, without moving them: one small job counts the rows of each partition before."""
-    marked = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    """Rows numbered from 0 in the order of the input, in a first column whose name no other column may have.
+
+    The rows are stored with their places first, so that a plan that gives them in another order when it runs again can't number one twice; one small job counts the rows of each
+    partition, and nothing is shuffled.
+    """
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {name} already")
+    spark, at = df.sparkSession, free_name([*df.columns, name], "at")
+    path = new_folder(spark, "rows")
+    df.withColumn(at, F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    part = F.shiftright(at, 33)
+    counts = {r["p"]: r["n"] for r in stored.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for p in sorted(counts):
         before += [F.lit(p), F.lit(total)]
         total += counts[p]
     base = F.create_map(*before)[part] if before else F.lit(0)
-    return marked.select((base + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long").alias(name), *df.columns)
+    return stored.select((base + F.col(at).bitwiseAND((1 << 33) - 1)).cast("long").alias(name), *(F.col(f"`{c}`") for c in df.columns))
 
 
 def documents(spark: SparkSession, records: Any, name: str = "doc_id") -> DataFrame:

@@ -89,6 +89,18 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def small_parts(df: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """The table in parts, by a hash of the key, none of which is larger than the limit by expectation, each marked for broadcast. It is stored first if there are several."""
+    if is_small(df, limit):
+        return [F.broadcast(df)]
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "parts")
+    total = sum((_size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8).cast("long"))
+    n = -(-2 * (df.select(total.alias("size")).agg(F.sum("size")).first()[0] or 0) // max(1, limit))
+    df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(n))).repartition("part").write.partitionBy("part").parquet(path)
+    stored = spark.read.parquet(path)
+    return [F.broadcast(stored.where(F.col("part") == k).select(df.columns)) for k in range(n)]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan in as many tasks as there are cores. Only one of fewer tasks, which is small, is shuffled; a large one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
