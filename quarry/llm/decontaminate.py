@@ -10,7 +10,6 @@ each character is a word.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,12 +69,6 @@ class Segment:
     def of(cls, batch: pa.RecordBatch, row: int) -> Segment:
         return cls(*(np.frombuffer(batch.column(c)[row].as_buffer(), dtype=t) for c, t in (("ids", np.int64), ("ends", np.int64), ("terms", np.int64), ("heads", np.int32), ("places", np.int32))))
 
-    def lists(self, terms: np.ndarray) -> list[np.ndarray | None]:
-        """The places of each term; None for a term that the segment doesn't have."""
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        there = self.terms[at] == terms
-        return [np.cumsum(self.gaps[self.heads[k - 1] if k else 0 : self.heads[k]], dtype=np.int64) if ok else None for k, ok in zip(at.tolist(), there.tolist())]
-
     def doc(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, side="right")
 
@@ -83,32 +76,76 @@ class Segment:
         return np.where(docs > 0, self.ends[docs - 1], 0)
 
 
+class Lists:
+    """The places of terms in a segment, unpacked when they are asked for; None for a term that the segment doesn't have. size: how many each has."""
+
+    def __init__(self, segment: Segment, terms: np.ndarray):
+        self.segment, self.known = segment, {}
+        self.at = np.minimum(np.searchsorted(segment.terms, terms), len(segment.terms) - 1)
+        self.size = np.where(segment.terms[self.at] == terms, np.diff(segment.heads, prepend=np.int32(0))[self.at], 0).astype(np.int64)
+
+    def __getitem__(self, term: int) -> np.ndarray | None:
+        if not self.size[term]:
+            return None
+        if term not in self.known:
+            k = self.at[term]
+            self.known[term] = np.cumsum(self.segment.gaps[self.segment.heads[k] - self.size[term] : self.segment.heads[k]], dtype=np.int64)
+        return self.known[term]
+
+
 @dataclass
 class Items:
-    """Benchmark items: their words as numbers of terms."""
+    """Benchmark items: their words as numbers of terms, and all words and distinct words one item after another."""
 
     ids: list[int]
     words: list[np.ndarray]
     terms: np.ndarray
 
+    def __post_init__(self):
+        none = np.zeros(0, dtype=np.int64)
+        self.counts = np.array([len(w) for w in self.words], dtype=np.int64)
+        own = [np.unique(w) for w in self.words]
+        self.distinct = np.array([len(w) for w in own], dtype=np.int64)
+        self.flat, self.each = np.concatenate([none, *self.words]), np.concatenate([none, *own])
+
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None]) -> Items:
         found = tokenize(pa.array(texts, pa.string()), scripts=True)
         terms, number = np.unique(found.hashes.view(np.int64), return_inverse=True)
         return cls(list(ids), [number[a:b] for a, b in zip(found.bounds, found.bounds[1:])], terms)
 
+    def with_run(self, size: np.ndarray, phrase: int) -> np.ndarray:
+        """Items of which so many words in a row, or all, are in the segment; the others can have no phrase there."""
+        some = np.flatnonzero(self.counts)
+        if not len(some):
+            return some
+        counts, place = self.counts[some], np.arange(len(self.flat))
+        head = np.cumsum(counts) - counts
+        absent = np.maximum.accumulate(np.where(size[self.flat] > 0, -1, place))
+        run = place - np.maximum(absent, np.repeat(head - 1, counts))
+        return some[np.maximum.reduceat(run, head) >= np.minimum(counts, phrase)]
+
+    def with_share(self, size: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Items of which so many distinct words are in the segment."""
+        some = np.flatnonzero(self.distinct)
+        if not len(some):
+            return some
+        there = np.add.reduceat((size[self.each] > 0).astype(np.int64), np.cumsum(self.distinct[some]) - self.distinct[some])
+        return some[there >= need[some]]
+
 
 def _inside(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(known, values), len(known) - 1)
     return known[at] == values
 
 
-def phrases(segment: Segment, items: Items, lists: list, phrase: int = PHRASE, fewest: int = FEWEST):
+def phrases(segment: Segment, items: Items, lists: Lists, phrase: int = PHRASE, fewest: int = FEWEST):
     """(item, document, start, stop): longest runs of an item's words in a document, of so many words at least."""
-    size = np.array([0 if x is None else len(x) for x in lists], dtype=np.int64)
-    for k, words in enumerate(items.words):
+    size = lists.size
+    for k in items.with_run(size, phrase).tolist():
+        words = items.words[k]
         n = min(phrase, len(words))
-        if n < fewest or not len(size):
+        if n < fewest:
             continue
         windows = np.lib.stride_tricks.sliding_window_view(words, n)
         counts = size[windows]
@@ -136,17 +173,16 @@ def phrases(segment: Segment, items: Items, lists: list, phrase: int = PHRASE, f
             yield from ((k, d, s, e) for d, s, e in zip(segment.doc(start).tolist(), start.tolist(), stop.tolist()))
 
 
-def proximities(segment: Segment, items: Items, lists: list, share: float = SHARE, width: float = WIDTH, least: int = DISTINCT):
+def proximities(segment: Segment, items: Items, lists: Lists, share: float = SHARE, width: float = WIDTH, least: int = DISTINCT):
     """(item, document, start, stop, words): windows with so large a share of the item's distinct words; overlapping ones are joined, words is the most of one."""
-    for k, words in enumerate(items.words):
-        distinct = np.unique(words)
-        need = math.ceil(share * len(distinct))
+    needs = np.ceil(share * items.distinct).astype(np.int64)
+    for k in items.with_share(lists.size, needs).tolist():
+        words = items.words[k]
+        distinct, need = np.unique(words), int(needs[k])
         if len(distinct) < least:
             continue
         reach = int(width * len(words))
         there = [lists[t] for t in distinct.tolist() if lists[t] is not None]
-        if len(there) < need:
-            continue
         there.sort(key=len)
         spare = len(there) - need  # so many of the words there may be missing
         anchor = np.unique(np.concatenate(there[: spare + 1]))
@@ -188,11 +224,13 @@ def proximities(segment: Segment, items: Items, lists: list, share: float = SHAR
             yield from ((k, d, s, e, n) for s, e, n in own)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", phrase: int = PHRASE, share: float = SHARE, width: float = WIDTH, block: int = BLOCK, segment: int = SEGMENT, fewest: int = FEWEST) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", phrase: int = PHRASE, share: float = SHARE, width: float = WIDTH, block: int = BLOCK, segment: int = SEGMENT, fewest: int = FEWEST, distinct: int = DISTINCT) -> DataFrame:
     """(doc_id, item_id, kind, start, stop, words): matches of benchmark items in documents, at words start to stop, counted from 0.
 
     kind is phrase for the longest runs of an item's words, proximity for windows with most of its distinct words.
-    Items of any length have phrases, an item of one word wherever the word stands; fewest asks for items of so many words.
+    phrase is the number of words in a row; a shorter item, down to one word, matches where all of it stands; fewest leaves out items of fewer words.
+    A proximity window is up to width times as long as the item and holds the share of its distinct words; items of fewer distinct words than distinct have none, for any
+    text has a few frequent words near one another. Equal words in a window count once. block and segment bound what is held at once and change no result. Texts may be of any length.
     Null ids and null, empty or wordless texts on either side match nothing; repeated rows match each for itself, repeated items once; an empty table gives no row.
     Other columns aren't looked at.
     """
@@ -203,7 +241,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = items.withColumn("n", F.length("text") + 1)
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-int(total) // (6 * block)))  # of about so many words each; each goes to every task by itself
-    found = [work.store(_lookup(stored, items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b), phrase, share, width, fewest), f"found-{b}") for b in range(blocks)]
+    found = [work.store(_lookup(stored, items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b), phrase, share, width, fewest, distinct), f"found-{b}") for b in range(blocks)]
     work.drop("index")
     out = found[0]
     for x in found[1:]:
@@ -211,7 +249,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "kind", "start", "stop", "words")
 
 
-def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, width: float, fewest: int) -> DataFrame:
+def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, width: float, fewest: int, distinct: int) -> DataFrame:
     rows = items.select("item", "text").toPandas().sort_values(["item", "text"])
     sent = stored.sparkSession.sparkContext.broadcast(Items.of(rows["item"].tolist(), rows["text"].tolist()))
 
@@ -220,9 +258,9 @@ def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, widt
         for batch in batches:
             for row in range(batch.num_rows):
                 part = Segment.of(batch, row)
-                lists = part.lists(items.terms)
+                lists = Lists(part, items.terms)
                 out = [(k, d, "phrase", s, e, e - s) for k, d, s, e in phrases(part, items, lists, phrase, fewest)]
-                out += [(k, d, "proximity", s, e, n) for k, d, s, e, n in proximities(part, items, lists, share, width)]
+                out += [(k, d, "proximity", s, e, n) for k, d, s, e, n in proximities(part, items, lists, share, width, distinct)]
                 if out:
                     item, doc, kind, start, stop, words = zip(*out)
                     doc = np.array(doc)
@@ -235,9 +273,10 @@ def _lookup(stored: DataFrame, items: DataFrame, phrase: int, share: float, widt
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those that a benchmark item matches; the others stay with all their columns, also those without an id or a text.
+    """The documents without those that a benchmark item matches; the others stay with all their columns, whatever these are called.
 
-    Options are those of matches(): where items are so short that they stand in texts by chance, fewest keeps these texts.
+    Options are those of matches(): phrase, share, width, fewest, distinct and so on; where items are so short that they stand in texts by chance, fewest keeps these texts.
+    Rows without an id, and null, empty and wordless texts, stay; rows that repeat an id go or stay together; an empty table of either kind takes nothing away.
     """
     work = Workspace(docs.sparkSession, "decontaminate-drop")
     gone = work.store(matches(docs, benchmark, id_col, text_col, **options).select(id_col).distinct(), "gone")

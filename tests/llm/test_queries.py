@@ -105,3 +105,36 @@ def test_clashing_columns(spark):
     assert decontaminate.clean(docs, read(spark, "benchmark").selectExpr("*", "1 as item", "2 as n")).columns == docs.columns
     pages = read(spark, "pages").selectExpr("*", "1 as id", "'h' as host", "2 as uid", "3 as part", "4 as roles")
     assert template.extract(pages).count() > 0 and warc.round_trip(pages).count() == pages.count()
+
+
+def odd(spark):
+    """Nulls in every column, empty and repeated rows, an id on two texts, a long text, columns named like working ones."""
+    text = " ".join(f"word{i}" for i in range(70))
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, None, None, None, None), (3, "", "", "", 0), (None, text + " more", None, "b", 1), (None, None, None, None, None), (4, "\n ", "x", "y", 2), (5, text.upper() + " end", "en", "a", 7), (5, "short", "en", "a", 7), (6, "z " * 50_000, "en", "c", 5), (7, "you idiot moron scum", "en", "d", 4)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as id", "2 as key", "3 as `group`", "4 as spans", "5 as toxic", "6 as node", "7 as start", "8 as tokens")
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_rows(spark, tmp_path, k):
+    """Each stage keeps what its docstring says, with all columns, and takes an empty table."""
+    for name, rows, schema in (("labels", [(7, 0, 1), (None, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, "unheard phrase"), (2, None), (None, "x")], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs, (_, stage) = odd(spark), corpus_pipeline.STAGES[k]
+    out, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.limit(0), str(tmp_path))
+    assert none.count() == 0 and none.columns == out.columns
+    rows = sorted(((r.doc_id, r.text) for r in out.collect()) if k < 4 else ((r.doc_id, r.tokens) for r in out.collect()), key=str)
+    given = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    if k < 4:
+        assert out.columns == docs.columns
+        blank = [r for r in given if r[0] is None or not (r[1] or "").strip()]
+        assert [r for r in rows if r in blank] == blank
+    if k == 0:
+        assert rows == [r for r in given if r[0] != 7]
+    if k == 1:
+        assert sorted(d for d, _ in rows if d) == [1, 2, 3, 4, 6, 7]
+    if k == 2:
+        assert [t for d, t in rows if d == 1] == [t for d, t in given if d == 1] and len([r for r in rows if r[0] == 6]) == 1
+    if k == 3:
+        assert rows == given
+    if k == 4:
+        assert {d for d, _ in rows} == {1, 4, 5, 6, 7, None} and sum(n for d, n in rows if d == 1) == 2 * sum(n for d, n in rows if d == 1) // 2
