@@ -4,11 +4,17 @@ Reading plans whole files into partitions of about the same bytes. Predicates on
 and on any other header column are pushed down: a record's header is parsed first, and if it fails a predicate its payload is
 neither decoded nor kept; in files that aren't compressed it is skipped by a seek. In compressed files every record is a gzip member
 of its own, of which an unwanted one is only inflated to find where the next begins.
+
+A damaged record ends the job with an error. With option("mode", "permissive") it is a row instead, whose columns are null but for
+file, offset and headers, which has the reason as "x-damage"; reading goes on where the next record begins; in files that
+aren't compressed, a damaged record's payload that looks like a record is read as one. Rows by
+`headers['x-damage'] is not null` are the count of records that were rejected.
 """
 
 from __future__ import annotations
 
 import gzip
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -56,8 +62,8 @@ def _open(path: str):
 class _Plain:
     """Bytes of a file that isn't compressed; skipping them is a seek."""
 
-    def __init__(self, source):
-        self.source, self.buffer, self.at = source, b"", 0
+    def __init__(self, source, at: int = 0):
+        self.source, self.buffer, self.at, self.begun = source, b"", at, at
 
     def more(self) -> bool:
         chunk = self.source.read(CHUNK)
@@ -82,8 +88,8 @@ class _Plain:
 class _Members:
     """The inflated bytes of gzip members, one after another; start is where the member of the next byte begins in the file."""
 
-    def __init__(self, source):
-        self.source, self.raw, self.buffer, self.start, self.read = source, b"", b"", 0, 0
+    def __init__(self, source, at: int = 0):
+        self.source, self.raw, self.buffer, self.start, self.read, self.begun = source, b"", b"", at, at, at
         self.inflate = None
 
     @property
@@ -160,7 +166,7 @@ def _header(stream) -> tuple[int, list[bytes]] | None:
         if not blank:
             break
         stream.take(blank)
-    start = stream.at
+    start = stream.begun = stream.at
     while (end := stream.buffer.find(b"\r\n\r\n")) < 0:
         if not stream.more():
             raise ValueError("the header of a record is cut off")
@@ -236,30 +242,69 @@ def _http(body: bytes) -> tuple[int | None, dict[str, str] | None, bytes]:
     return int(status[1]) if len(status) > 1 and status[1].isdigit() else None, fields, body
 
 
-def records(path: str, filters: list[Filter] = (), payload: bool = True) -> Iterator[tuple]:
-    """The records of a file that meet the predicates, as rows of SCHEMA."""
+def _resume(source, at: int, packed: bool) -> int | None:
+    """Where, from a byte on, the next record begins: a gzip member that holds one, or a version line and a field after an empty line."""
+    mark, kept, overlap = re.compile(rb"\x1f\x8b\x08" if packed else rb"\r\n\r\n(?=WARC/[^\r\n]{1,8}\r\n[!-9;-~]{1,40}:)"), b"", 2 if packed else 63
+    source.seek(at)
+    while chunk := source.read(CHUNK):
+        kept += chunk
+        for found in mark.finditer(kept):
+            k = found.start()
+            if not packed:
+                return at + found.end()
+            source.seek(at + k)
+            try:
+                if zlib.decompressobj(31).decompress(source.read(4096), 64).startswith(b"WARC/"):
+                    return at + k
+            except zlib.error:
+                pass  # these bytes are within a member
+        source.seek(at + len(kept))
+        past = max(0, len(kept) - overlap)
+        at, kept = at + past, kept[past:]
+    return None
+
+
+def records(path: str, filters: list[Filter] = (), payload: bool = True, permissive: bool = False) -> Iterator[tuple]:
+    """The records of a file that meet the predicates, as rows of SCHEMA; if permissive, with a row for each damaged one."""
     there, at = _open(path)
     with there.open_input_file(at) as source:
-        magic = source.read(2)
-        source.seek(0)
-        stream = _Members(source) if magic == b"\x1f\x8b" else _Plain(source)
-        while (head := _header(stream)) is not None:
-            start, lines = head
-            fields = _fields(lines)
-            length = int(fields.get("content-length", 0))
-            if not accepts(filters, fields):
-                stream.skip(length)
-                continue
-            status, http, body = None, None, None
-            if payload:
-                body = stream.take(length)
-                if len(body) < length:
-                    raise EOFError(f"{path}: the record at byte {start} is cut off")
-                if fields.get("content-type", "").startswith("application/http"):
-                    status, http, body = _http(body)
-            else:
-                stream.skip(length)
-            yield (*(_value(c, fields) for c in _FIELD), fields, status, http, body, path, start)
+        packed = source.read(2) == b"\x1f\x8b"
+        begin = 0
+        while begin is not None:
+            source.seek(begin)
+            stream = _Members(source, begin) if packed else _Plain(source, begin)
+            try:
+                yield from _records(path, stream, filters, payload)
+                return
+            except (ValueError, EOFError, zlib.error) as e:
+                if not permissive:
+                    raise
+                begun = stream.start if packed else stream.begun
+                if accepts(filters, {}):
+                    yield (*(None for _ in _FIELD), {"x-damage": str(e)}, None, None, None, path, begun)
+                begin = _resume(source, begun + 1, packed)
+
+
+def _records(path: str, stream, filters: list[Filter], payload: bool) -> Iterator[tuple]:
+    while (head := _header(stream)) is not None:
+        start, lines = head
+        fields = _fields(lines)
+        length = int(fields.get("content-length", 0))
+        if length < 0:
+            raise ValueError(f"{path}: the record at byte {start} has a negative length")
+        if not accepts(filters, fields):
+            stream.skip(length)
+            continue
+        status, http, body = None, None, None
+        if payload:
+            body = stream.take(length)
+            if len(body) < length:
+                raise EOFError(f"{path}: the record at byte {start} is cut off")
+            if fields.get("content-type", "").startswith("application/http"):
+                status, http, body = _http(body)
+        else:
+            stream.skip(length)
+        yield (*(_value(c, fields) for c in _FIELD), fields, status, http, body, path, start)
 
 
 class Files(InputPartition):
@@ -316,7 +361,7 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays(columns, schema=target)
 
         for path in partition.paths:
-            for row in records(path, self.filters, self.options.get("payload", "true").lower() != "false"):
+            for row in records(path, self.filters, self.options.get("payload", "true").lower() != "false", self.options.get("mode", "failfast").lower() == "permissive"):
                 rows.append(row)
                 size += len(row[9] or b"") + 512
                 if size >= BATCH:

@@ -103,6 +103,35 @@ def test_broken_files(tmp_path):
     assert list(warc.records(str(tmp_path / "d.warc"))) == []
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_permissive(spark, tmp_path, packed):
+    warc.register(spark)
+    bad = RECORDS[1].replace(b"Content-Length: ", b"Content-Length: x")
+    assert bad != RECORDS[1]
+    pack = gzip.compress if packed else bytes
+    last = pack(RECORDS[2])
+    for name, parts in (("a", [RECORDS[0], bad, RECORDS[2], RECORDS[3]]), ("b", [RECORDS[0], b"nonsense\r\n\r\n", RECORDS[2]])):
+        (tmp_path / f"{name}.warc").write_bytes(b"".join(map(pack, parts)))
+    (tmp_path / "c.warc").write_bytes(pack(RECORDS[0]) + last[: len(last) // 2])
+    whole = [r[:-2] for r in warc_rows(tmp_path, pack, RECORDS)]
+    for name, good in (("a", [0, 2, 3]), ("b", [0, 2]), ("c", [0])):
+        rows = list(warc.records(str(tmp_path / f"{name}.warc"), permissive=True))
+        damaged = [r for r in rows if r[6] and "x-damage" in r[6]]
+        assert len(damaged) == 1 and damaged[0][:6] == (None,) * 6
+        assert [r[:-2] for r in rows if r not in damaged] == [whole[i] for i in good]
+    df = spark.read.format("warc").option("mode", "permissive").load(str(tmp_path))
+    assert df.where("headers['x-damage'] is not null").count() == 3
+    assert df.where("warc_type is null").count() == 3
+    with pytest.raises(Exception, match="ValueError|EOFError|error"):
+        spark.read.format("warc").load(str(tmp_path)).collect()
+
+
+def warc_rows(folder, pack, parts):
+    other = folder / "whole"
+    other.write_bytes(b"".join(map(pack, parts)))
+    return list(warc.records(str(other)))
+
+
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_writing(spark, tmp_path, compression):
     warc.register(spark)
