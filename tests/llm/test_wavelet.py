@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import wavelet as W
@@ -78,3 +80,46 @@ def test_round_trip(spark, tmp_path):
     assert W.lookup(made, []).count() == 0
     assert all(W.Shard(open(f.path, "rb").read()).size >= 0 for f in files)
     assert W.shards(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unlike", [W.UNLIKE, 1])
+def test_columns_are_tokenized_as_their_texts(monkeypatch, unlike):
+    rng = random.Random(3)
+    blanks = [chr(c) for c in (9, 10, 13, 0x1C, 0x1F, 0x20, 0x85, 0xA0, 0x1680, 0x2003, 0x200B, 0x2028, 0x205F, 0x3000)]
+    signs = [*blanks, *" " * 20, *"abzAB019.,!?'-_é“’à€Àжя中日٣½😀\u0301⊀\0", "'s", "'ll", "don't", " the", "  ", "\n\n", "   b"]
+    monkeypatch.setattr(W, "UNLIKE", unlike)
+    monkeypatch.setattr(W, "KEPT", 300)
+    monkeypatch.setattr(W, "PIECE", 20)
+    monkeypatch.setattr(W, "BLANKS", 40)
+    monkeypatch.setattr(W, "_LONG_BLANKS", re.compile(r"(\s{40})"))
+    encoder = W.Encoder()
+    columns = [[], [""], [None, None, "a"], [" " * 85 + "a  b" + " " * 40, "  x", "b" * 3000]]
+    for _ in range(60):
+        columns.append([None if rng.random() < 0.05 else "".join(rng.choice([rng.choice(signs), rng.choice(blanks) * rng.choice([1, 1, 1, 39, 41, 80])]) for _ in range(rng.choice([0, 1, 2, 5, 30, 200]))) for _ in range(30)])
+    for texts in columns:
+        ids, bounds = encoder(pa.array(texts, pa.string()))
+        assert len(bounds) == len(texts) + 1 and bounds[-1] == len(ids)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [W.token_ids(encoder.enc, t or "") for t in texts]
+        assert len(encoder.kept) == len(encoder.ids) <= 300
+
+
+def test_words_are_tokenized_once(spark):
+    """Of a corpus of few words the tokenizer gets few characters, and op4_tokens' files hold what it would have made of each text."""
+    rng = random.Random(5)
+    words = ["cat", "dog's", "séa", "Straße,", "(12", "3.5%)", "unbelievabilities"]
+    texts = [" ".join(rng.choice(words) for _ in range(500)) for _ in range(50)]
+    given, encoder = [], W.Encoder()
+    plain = encoder.enc
+
+    class Counting:
+        def encode_ordinary(self, text):
+            given.append(len(text))
+            return plain.encode_ordinary(text)
+
+    encoder.enc = Counting()
+    for text in texts:
+        assert encoder(pa.array([text]))[0].tolist() == plain.encode_ordinary(text)
+    assert sum(given) < 0.01 * sum(map(len, texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    made, own = W.shards(docs, size=4000).collect(), W.shards(docs, size=4000, encode=plain.encode_ordinary).collect()
+    assert len(made) > 2 and [tuple(r) for r in made] == [tuple(r) for r in own]
