@@ -69,16 +69,85 @@ def sign_words(vector: Column, dim: int) -> list[Column]:
 def nearest(vectors: DataFrame, asked: DataFrame, dim: int, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, distance) of the k vectors with the fewest signs unlike the query's, the query itself among them.
 
-    The search is exhaustive: asked goes to every task in blocks of so many bytes, and each task keeps its best before anything is shuffled.
+    The search is exhaustive, so its time grows with the square of a table that is held against itself. Pairs aren't rows, which would have to be sorted: asked goes to every task in
+    blocks of so many bytes, a task compares by numpy and gives the k best of each query for each million of its vectors. Null vectors have no sign set; null ids come last.
     """
-    words = -(-dim // WORD)
-    signed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), *(w.alias(f"w{i}") for i, w in enumerate(sign_words(F.col(vector_col), dim))))
-    wanted = asked.select(F.col(id_col).cast("long").alias("query_id"), *(w.alias(f"q{i}") for i, w in enumerate(sign_words(F.col(vector_col), dim))))
-    distance = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"q{i}"))).cast("long") for i in range(words)), F.lit(0).cast("long"))
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    spark = vectors.sparkSession
+    signed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), _signs(vectors, vector_col, dim).alias("signs"))
+    wanted = asked.select(F.col(id_col).cast("long").alias("query_id"), _signs(asked, vector_col, dim).alias("signs"))
+    order = Window.partitionBy("query_id").orderBy("distance", F.asc_nulls_last("vec_id"))
 
     def best(part: DataFrame) -> DataFrame:
-        pairs = signed.join(part).select("query_id", "vec_id", distance.alias("distance"))
-        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
-
-    return reduce(DataFrame.union, map(best, small_parts(wanted, "query_id", limit)))
+        rows = part.toArrow()
+        sent = spark.sparkContext.broadcast((rows["query_id"].combine_chunks(), rows["signs"].combine_chunks()))
+        return signed.mapInArrow(_searcher(sent, k), "query_id long, vec_id long, distance long")
+
+    found = reduce(DataFrame.union, map(best, small_parts(wanted, "query_id", limit)))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+
+
+def _signs(df: DataFrame, vector_col: str, dim: int) -> Column:
+    filled = F.coalesce(F.col(vector_col), F.array().cast(df.schema[vector_col].dataType))
+    return F.array(*sign_words(filled, dim))
+
+
+def _searcher(sent, k: int):
+    """The function that a task applies to its vectors; it needs nothing of this package, which isn't on the executors."""
+
+    def search(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        block, some, most, none = 1 << 20, 512, 4096, np.iinfo(np.int64).max
+
+        def packed(signs: pa.Array) -> np.ndarray:
+            """Words of 64 bits, a row for each vector."""
+            words = signs.flatten().to_numpy(zero_copy_only=False).reshape(len(signs), -1).astype(np.uint64)
+            if words.shape[1] % 2:
+                words = np.hstack([words, np.zeros((len(words), 1), np.uint64)])
+            return words[:, ::2] | words[:, 1::2] << np.uint64(32)
+
+        def blocks():
+            held, n = [], 0
+            for b in batches:
+                for start in range(0, b.num_rows, block):
+                    part = b.slice(start, block)
+                    if n and n + part.num_rows > block:
+                        yield held
+                        held, n = [], 0
+                    held, n = [*held, part], n + part.num_rows
+            if n:
+                yield held
+
+        query_ids, signs = sent.value
+        asked = packed(signs) if len(signs) else None
+        for held in blocks() if len(query_ids) else ():
+            table = pa.Table.from_batches(held).combine_chunks()
+            by_id = pc.sort_indices(table["vec_id"])  # so that a later vector loses against an earlier one as near
+            ids, words = table["vec_id"].combine_chunks().take(by_id), packed(table["signs"].combine_chunks())[by_id.to_numpy()]
+            n = len(words)
+            for first in range(0, len(asked), some):
+                own = asked[first : first + some]
+                keys = np.full((len(own), k), none)  # distance * n + place, the least k in order
+                at, step = 0, max(64, k)
+                while at < n:
+                    now = words[at : at + step]
+                    far = np.bitwise_count(own[:, 0, None] ^ now[None, :, 0])
+                    for w in range(1, own.shape[1]):
+                        far = far.astype(np.uint16) + np.bitwise_count(own[:, w, None] ^ now[None, :, w])
+                    bound = np.minimum(keys[:, -1] // n, np.iinfo(far.dtype).max).astype(far.dtype)
+                    row, col = np.nonzero(far < bound[:, None])
+                    if len(row):
+                        changed, row_at = np.unique(row, return_inverse=True)
+                        key = np.concatenate([keys[changed].ravel(), far[row, col].astype(np.int64) * n + at + col])
+                        of = np.concatenate([np.repeat(np.arange(len(changed)), k), row_at])
+                        order = np.lexsort((key, of))
+                        start = np.searchsorted(of[order], np.arange(len(changed)))
+                        keys[changed] = key[order][start[:, None] + np.arange(k)]
+                    at, step = at + step, min(2 * step, most)
+                row, col = np.nonzero(keys < none)
+                distance, place = np.divmod(keys[row, col], n)
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(first + row)), ids.take(pa.array(place)), pa.array(distance)], ["query_id", "vec_id", "distance"])
+
+    return search

@@ -102,3 +102,19 @@ def test_sketches_in_blocks_of_queries(spark):
     assert rows(sketch.overlap(sketched, asked, limit=500)) == rows(sketch.overlap(sketched, asked))
     vectors = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(40)]) for i in range(30)], "vec_id long, embedding array<double>")
     assert rows(sketch.nearest(vectors, vectors, 40, limit=500)) == rows(sketch.nearest(vectors, vectors, 40))
+
+
+def test_nearest_compares_without_rows_of_pairs(spark):
+    """Against brute force, with ties, null vectors and more vectors than a step takes; no pair is a row that would be sorted."""
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 1.0]) for _ in range(70)] if i % 9 else None) for i in range(0, 600, 2)] + [(-i, [1.0] * 70) for i in range(1, 100)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = sketch.nearest(vectors, vectors.where("vec_id % 5 = 0"), 70, k=12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    signs = {i: [x > 0 for x in v or [0.0] * 70] for i, v in rows}
+    expected = []
+    for q in (i for i in signs if i % 5 == 0):
+        near = sorted((sum(a != b for a, b in zip(signs[q], signs[v])), v) for v in signs)[:12]
+        expected += [(q, n, v, d) for n, (d, v) in enumerate(near, 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
