@@ -479,7 +479,7 @@ def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "csv")
     sources.write_csv(table(spark, sf_dir, "documents"), path)
-    read = sources.read_csv(spark, path)
+    read = sources.read_csv(spark, path, nulls=True)
     return read.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.col("n_chars").cast("long"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import Any
 
@@ -14,18 +15,21 @@ from quarry.storage import new_folder
 __all__ = ["documents", "free_name", "headers", "read", "read_csv", "read_json", "read_parquet", "resolve", "with_ids", "write_csv", "write_json"]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header: quoted fields may hold commas, line ends and doubled quotes. Every column is text; an empty field is empty text.
+def read_csv(spark: SparkSession, path: str, nulls: bool = False) -> DataFrame:
+    """CSV with a header: quoted fields may hold commas, line ends and doubled quotes. Every column is text; an empty field is empty text, or null if nulls are asked for and it isn't quoted.
 
     Where more than one task could read the files, their lines are looked at first: if each has an even number of quotes, no field holds a line end,
     and the files are split; else each file is one task's, and its records are spread over all tasks.
     """
     own = {"header": True, "quote": '"', "escape": '"', "inferSchema": False, "mode": "PERMISSIVE"}
+    if nulls:  # an empty field that isn't quoted is read as this value, which then is null
+        own["nullValue"] = uuid.uuid4().hex
     lines = spark.read.text(path)
     one = lines.rdd.getNumPartitions() <= 1
     split = not one and lines.where(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1).isEmpty()
     df = spark.read.options(multiLine=not split, **own).csv(path)
-    return (df if split or one else df.repartition(spark.sparkContext.defaultParallelism)).na.fill("")
+    df = df if split or one else df.repartition(spark.sparkContext.defaultParallelism)
+    return df if nulls else df.na.fill("")
 
 
 def read_json(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -54,7 +58,8 @@ def headers(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, quoteAll=True, quote='"', escape='"', emptyValue="").csv(path)
+    """CSV that read_csv() gives back as it was, blanks around a text and empty texts included. Null is an empty field without quotes; in a table of one column, where that would be no line, it is empty text."""
+    df.write.mode("overwrite").options(header=True, quoteAll=len(df.columns) == 1, quote='"', escape='"', emptyValue='""', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

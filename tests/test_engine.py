@@ -118,3 +118,16 @@ def test_nearest_compares_without_rows_of_pairs(spark):
         near = sorted((sum(a != b for a, b in zip(signs[q], signs[v])), v) for v in signs)[:12]
         expected += [(q, n, v, d) for n, (d, v) in enumerate(near, 1)]
     assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_csv_gives_back_odd_texts(spark, tmp_path, files):
+    texts = [" lead", "trail ", "\ttab\t", "a\rb", "a\r\nb", "\n", "end\n", "\\", '\\"', '"', '""', 'a"b,c"', "", None, "\u0000", "\ufeffx", "#c", "null", " ", "\x85", ", ", "\\N", "x" * 200_000]
+    df = spark.createDataFrame([(i, t, " s ") for i, t in enumerate(texts)], "id long, text string, more string").repartition(files, "id")
+    sources.write_csv(df, str(tmp_path / "odd.csv"))
+    read = sources.read_csv(spark, str(tmp_path / "odd.csv"), nulls=True)
+    assert sorted((int(r.id), r.text, r.more) for r in read.collect()) == [(i, t, " s ") for i, t in enumerate(texts)]
+    assert sorted((int(r.id), r.text) for r in sources.read_csv(spark, str(tmp_path / "odd.csv")).collect()) == [(i, t or "") for i, t in enumerate(texts)]
+    one = df.select(df.text).where("text is not null")
+    sources.write_csv(one, str(tmp_path / "one.csv"))
+    assert sorted(r.text for r in sources.read_csv(spark, str(tmp_path / "one.csv")).collect()) == sorted(t for t in texts if t is not None)
