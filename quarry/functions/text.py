@@ -22,26 +22,38 @@ NOT_SKETCH = r"[ .\-/+=&]+"
 
 def ascii_upper(text: Column) -> Column:
     """Upper case of ASCII letters; others stay, so that every engine folds alike. Null becomes empty."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_lowercase, string.ascii_uppercase)
+    return _upper(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _filled(parts: Column) -> Column:
+def _upper(text: Column) -> Column:
+    """translate() goes letter by letter; upper() doesn't, but folds all letters."""
+    return F.when(_is_ascii(text), F.upper(text)).otherwise(F.translate(text, string.ascii_lowercase, string.ascii_uppercase))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _parts(text: Column, signs: str) -> Column:
+    """Upper-cased parts between signs, none of which is a letter; of a text with other than ASCII characters only the parts with such are folded letter by letter."""
+    filled = F.coalesce(text.cast("string"), F.lit(""))
+    parts = F.when(_is_ascii(filled), F.split(F.upper(filled), signs, -1)).otherwise(F.transform(F.split(filled, signs, -1), _upper))
     return F.filter(parts, lambda x: x != "")
 
 
 def space_tokens(text: Column) -> Column:
     """Upper-cased tokens between blanks; line ends and punctuation stay in them."""
-    return _filled(F.split(ascii_upper(text), " ", -1))
+    return _parts(text, " ")
 
 
 def alnum_tokens(text: Column) -> Column:
     """Upper-cased runs of ASCII letters and digits and of all other than ASCII characters."""
-    return _filled(F.split(ascii_upper(text), NOT_ALNUM, -1))
+    return _parts(text, NOT_ALNUM)
 
 
 def sketch_tokens(text: Column) -> Column:
     """Upper-cased tokens between blanks and the signs . - / + = &"""
-    return _filled(F.split(ascii_upper(text), NOT_SKETCH, -1))
+    return _parts(text, NOT_SKETCH)
 
 
 TOKENIZERS = {"space": space_tokens, "alnum": alnum_tokens, "sketch": sketch_tokens}

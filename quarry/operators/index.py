@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import STOP_WORDS, TOKENIZERS, is_valid, tokens
 from quarry.sources import resolve
-from quarry.storage import exists, new_folder, remove
+from quarry.storage import exists, new_folder, placed, remove
 
 _TABLES = {
     "postings": "field string, term string, doc_id long, tf int, first_pos int, dl int, bucket int",
@@ -88,11 +88,12 @@ class SearchIndex:
             raise ValueError(f"tokenizers are {', '.join(TOKENIZERS)}")
         spark, fields, stop = df.sparkSession, resolve(df, fields), stop_list(stop_words)
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # by document: the texts are shuffled, which are smaller than what is counted in them, and counting needs no other shuffle
-        placed = df.select(F.col(id_col).cast("long").alias("doc_id"), *fields).repartition("doc_id")
-        parts = field_tokens(placed, fields, "doc_id", tokenizer)
+        # by document: the texts are shuffled, which are smaller than what is counted in them, and counting needs no other shuffle; a task's part is
+        # bounded, as its counts take up to fifty times as much
+        docs = placed(df.select(F.col(id_col).cast("long").alias("doc_id"), *fields), "doc_id")
+        parts = field_tokens(docs, fields, "doc_id", tokenizer)
         postings = counted(indexed(occurrences(parts), stop)).withColumn("bucket", bucket(buckets))
-        return cls(spark, tuple(fields), tokenizer, tuple(stop), postings, *_derived(postings, parts.select("field", "doc_id", F.size("toks").alias("dl")), buckets), buckets)
+        return cls(spark, tuple(fields), tokenizer, tuple(stop), postings, *_derived(postings, field_tokens(df, fields, id_col, tokenizer).select("field", "doc_id", F.size("toks").alias("dl")), buckets), buckets)
 
     def save(self, path: str) -> SearchIndex:
         """Writes the index to a folder, over what is there; dictionary and statistics are derived from the postings as written."""

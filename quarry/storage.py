@@ -101,6 +101,26 @@ def small_parts(df: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> list[D
     return [F.broadcast(stored.where(F.col("part") == k).select(df.columns)) for k in range(n)]
 
 
+#: Bytes of a stored table for each task where the work of a task takes many times their size in memory; and the least that is worth one.
+TASK_BYTES, LEAST_BYTES = 4 << 20, 64 << 10
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """The bytes of the files and other sources that a table comes from, whatever is made of them; None if Spark doesn't know. Nothing runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total if total < 1 << 60 else None
+
+
+def placed(df: DataFrame, *keys: str, each: int = TASK_BYTES) -> DataFrame:
+    """The table shuffled by keys into so many tasks that each gets about so many bytes of the stored table, however large it is and whatever the session's settings; Spark decides if the size isn't known."""
+    size = stored_bytes(df)
+    if size is None:
+        return df.repartition(*keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, -(-size // each), min(cores, size // LEAST_BYTES)), *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan in as many tasks as there are cores. Only one of fewer tasks, which is small, is shuffled; a large one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
