@@ -7,7 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import placed
+
 LONGEST_RUN = 255
+#: Bytes of stored postings for each task that walks along terms' lists.
+LIST_BYTES = 8 << 20
 
 
 def vbyte_length(value: Column) -> Column:
@@ -41,6 +45,11 @@ def vbyte_decode(code: Column, first: int | None = None) -> Column:
     return F.aggregate(places, start, take, lambda state: state["done"])
 
 
+def _by_term(rows: DataFrame, *columns: str) -> DataFrame:
+    """Only what is asked for, shuffled by term once for all windows that follow, with a bounded number of bytes for each task (but for a term, which is one task's)."""
+    return placed(rows.select("field", "term", *columns), "field", "term", each=LIST_BYTES)
+
+
 def from_gaps(gaps: DataFrame, place: str = "place") -> DataFrame:
     """(field, term, place, doc_id) of gaps in their order: the inverse of delta_gaps()."""
     order = Window.partitionBy("field", "term").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -50,26 +59,33 @@ def from_gaps(gaps: DataFrame, place: str = "place") -> DataFrame:
 def from_run_lengths(runs: DataFrame) -> DataFrame:
     """(field, term, place, tf): each frequency at its place, from 1, in the term's list: the inverse of run_lengths()."""
     order = Window.partitionBy("field", "term").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    placed = runs.withColumn("before", F.coalesce(F.sum("length").over(order), F.lit(0)))
-    return placed.select("field", "term", "tf", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("length"))).alias("i")).select("field", "term", (F.col("before") + F.col("i")).alias("place"), "tf")
+    rows = runs.withColumn("before", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    return rows.select("field", "term", "tf", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("length"))).alias("i")).select("field", "term", (F.col("before") + F.col("i")).alias("place"), "tf")
 
 
 def delta_gaps(postings: DataFrame) -> DataFrame:
     """(field, term, doc_id, gap): each document id less the one before it in the term's list; the first is itself."""
+    return numbered_gaps(postings).drop("place")
+
+
+def numbered_gaps(postings: DataFrame) -> DataFrame:
+    """(field, term, place, doc_id, gap): delta_gaps() with the place, from 1, in the term's list; both take one sort."""
     order = Window.partitionBy("field", "term").orderBy("doc_id")
-    return postings.select("field", "term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(order), F.lit(0))).alias("gap"))
+    gap = F.col("doc_id") - F.coalesce(F.lag("doc_id").over(order), F.lit(0))
+    return _by_term(postings, "doc_id").select("field", "term", F.row_number().over(order).cast("long").alias("place"), "doc_id", gap.alias("gap"))
 
 
 def run_lengths(postings: DataFrame, longest: int = LONGEST_RUN) -> DataFrame:
-    """(field, term, run, tf, length): runs of equal frequencies along a term's list, cut at the longest length that a byte holds."""
+    """(field, term, run, tf, length): runs of equal frequencies along a term's list, cut at the longest length that a byte holds.
+
+    The list is sorted once: a run ends where the next frequency is another one, or where it is full, and only its end goes on.
+    """
     order = Window.partitionBy("field", "term").orderBy("doc_id")
-    same = Window.partitionBy("field", "term", "tf").orderBy("doc_id")
-    grouped = postings.withColumn("place", F.row_number().over(order)).withColumn("island", F.col("place") - F.row_number().over(same))
-    within = Window.partitionBy("field", "term", "tf", "island").orderBy("doc_id")
-    cut = grouped.withColumn("part", F.floor((F.row_number().over(within) - 1) / longest))
-    runs = cut.groupBy("field", "term", "tf", "island", "part").agg(F.min("place").alias("first"), F.count("*").alias("length"))
-    number = F.row_number().over(Window.partitionBy("field", "term").orderBy("first"))
-    return runs.select("field", "term", number.alias("run"), "tf", "length")
+    other = lambda to: F.coalesce(F.col("tf") != to, F.lit(True))
+    rows = _by_term(postings, "doc_id", "tf").select("*", F.row_number().over(order).alias("place"), other(F.lag("tf").over(order)).alias("begins"), other(F.lead("tf").over(order)).alias("ends"))
+    so_far = F.col("place") - F.max(F.when(F.col("begins"), F.col("place"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = rows.withColumn("length", so_far % longest + 1).where(F.col("ends") | (F.col("length") == longest))
+    return ends.select("field", "term", F.row_number().over(order).alias("run"), "tf", F.col("length").cast("long").alias("length"))
 
 
 def bloom_hashes(rate: float) -> int:

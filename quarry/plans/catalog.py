@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import sources
@@ -456,9 +456,8 @@ _PLACED = "placed AS (SELECT term, doc_id, tf, row_number() OVER (PARTITION BY t
 
 @query(f"WITH {_DOCS}, {_PLACED} SELECT term, place::BIGINT AS place, doc_id FROM placed")
 def gaps_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = codec.delta_gaps(documents_index(spark, sf_dir).postings)
-    placed = gaps.select("field", "term", "gap", F.row_number().over(Window.partitionBy("field", "term").orderBy("doc_id")).cast("long").alias("place"))
-    return codec.from_gaps(placed).select("term", "place", "doc_id")
+    gaps = codec.numbered_gaps(documents_index(spark, sf_dir).postings)
+    return codec.from_gaps(gaps.select("field", "term", "gap", "place")).select("term", "place", "doc_id")
 
 
 @query(f"WITH {_DOCS}, {_PLACED} SELECT term, place::BIGINT AS place, tf FROM placed")

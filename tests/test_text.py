@@ -1,3 +1,7 @@
+import itertools
+import random
+import re
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -107,3 +111,38 @@ def test_complete_all(spark):
 def test_bloom_sizes(spark):
     assert codec.bloom_hashes(1e-7) == 23
     assert spark.range(1).select(codec.bloom_bits(F.lit(50000), 1e-7)).first()[0] == 1677386
+
+
+def test_tokens_of_mixed_texts(spark):
+    """Texts and words of ASCII only, and others, are folded in different ways, but alike."""
+    rows = ["the Cat's  mat-2", "é Straße ǆ ok-no", "", None, " ", "ÀbC dé.f", "ĳ ı ſ k", "中文 ab 字cd"]
+    up = lambda x: "".join(c.upper() if c.isascii() else c for c in x or "")
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, t string").select("t", text.space_tokens(F.col("t")), text.alnum_tokens(F.col("t")), text.sketch_tokens(F.col("t")), text.ascii_upper(F.col("t"))).collect()
+    for t, space, alnum, sketched, upper in got:
+        assert upper == up(t) and space == [x for x in up(t).split(" ") if x]
+        assert alnum == [x for x in re.split(text.NOT_ALNUM, up(t)) if x] and sketched == [x for x in re.split(text.NOT_SKETCH, up(t)) if x]
+
+
+def test_lists_of_terms_are_sorted_once(spark):
+    """Runs and gaps of several terms against plain Python; encoding shuffles and sorts the postings once."""
+    rng = random.Random(4)
+    lists = {t: [(d, rng.choice([1, 1, 1, 2])) for d in sorted(rng.sample(range(2000), n))] for t, n in (("A", 900), ("B", 1), ("C", 300))}
+    lists["D"] = [(d, 3) for d in range(511)]
+    rows = [("f", t, d, tf) for t, own in lists.items() for d, tf in own]
+    postings = spark.createDataFrame(rng.sample(rows, len(rows)), "field string, term string, doc_id long, tf int")
+    runs = codec.run_lengths(postings)
+    got = {}
+    for r in sorted(runs.collect(), key=lambda r: (r.term, r.run)):
+        got.setdefault(r.term, []).append((r.tf, r.length))
+    for t, own in lists.items():
+        expected = []
+        for tf, group in itertools.groupby(tf for _, tf in own):
+            n = len(list(group))
+            expected += [(tf, 255)] * (n // 255) + [(tf, n % 255)] * (n % 255 > 0)
+        assert got[t] == expected
+    plan = codec.run_lengths(postings)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.term, r.place, r.tf) for r in codec.from_run_lengths(runs).collect()) == sorted((t, n, tf) for t, own in lists.items() for n, (_, tf) in enumerate(own, 1))
+    gaps = codec.numbered_gaps(postings)
+    assert gaps._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert sorted((r.term, r.doc_id) for r in codec.from_gaps(gaps.drop("doc_id")).collect()) == sorted((t, d) for t, own in lists.items() for d, _ in own)
