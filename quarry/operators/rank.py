@@ -22,6 +22,9 @@ LOOKUP = 2000
 #: Bytes of query terms up to which they are broadcast; what is made of them is at most a few times wider.
 SENT = 16 << 20
 
+#: Pairs of a query and a document that a task scores at most, were each document found by each query.
+PAIRS = 250_000
+
 Send = Callable[[DataFrame], DataFrame]
 
 
@@ -112,12 +115,31 @@ def top(scores: DataFrame, k: int | None) -> DataFrame:
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "rank", "doc_id", "score")
 
 
-def _scored(terms: DataFrame, index: SearchIndex, send: Send, k1: float, b: float) -> DataFrame:
-    """(query_id, doc_id, part) for every posting of the terms."""
+def _hits(terms: DataFrame, index: SearchIndex, send: Send) -> tuple[DataFrame, Send]:
+    """The postings of the terms by document, and how terms are joined to them.
+
+    If the terms can be broadcast, each posting is shuffled once, however many queries ask for it: all that a query finds in a document meets in one task, which sums it
+    up and keeps the best. The number of tasks follows from the numbers of documents and queries. Else, or if the index isn't saved, so that nothing is known of it, postings stay where they are.
+    """
+    if send is _as_it_is or not index.path:
+        return index.postings, send
+    docs, queries = index.stats.agg(F.max("num_docs")).first()[0] or 0, terms.select("query_id").distinct().count()
+    names = terms.select("bucket", "field", "term").distinct()
+    found = index.postings.join(send(names), ["bucket", "field", "term"], "left_semi")
+    return found.repartition(tasks_for_pairs(index.spark, docs, queries), "doc_id"), send
+
+
+def tasks_for_pairs(spark: SparkSession, docs: int, queries: int) -> int:
+    return max(1, -(-docs * queries // PAIRS), min(spark.sparkContext.defaultParallelism, docs // 5000))
+
+
+def _scored(terms: DataFrame, index: SearchIndex, send: Send, k1: float, b: float, more: Sequence[str] = ()) -> DataFrame:
+    """(query_id, doc_id, part) for every posting of the terms, and more columns of the term."""
     weight = F.col("boost") * F.col("qtf") * idf(F.col("num_docs"), F.col("df"))
-    asked = terms.select("query_id", "bucket", "field", "term", weight.alias("weight"), "avgdl")
-    found = index.postings.join(send(asked), ["bucket", "field", "term"])
-    return found.select("query_id", "doc_id", (F.col("weight") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("part"))
+    asked = terms.select("query_id", "bucket", "field", "term", weight.alias("weight"), "avgdl", *more)
+    hits, send = _hits(terms, index, send)
+    found = hits.join(send(asked), ["bucket", "field", "term"])
+    return found.select("query_id", "doc_id", (F.col("weight") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("part"), *more)
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -156,21 +178,17 @@ def candidates(index: SearchIndex, queries: DataFrame, threshold: float, k: int
     limit = F.floor(F.lit(float(threshold)) * F.col("num_docs")) if threshold <= 1 else F.lit(int(threshold))
     known, index, send = _known(queries, index)
     terms = _folded(known).withColumn("high", F.col("df") > limit)
-    low = terms.where(~F.col("high"))
-    if max_df is not None:
-        low = low.where(F.col("df") <= max_df)
-    low_parts = _scored(low, index, send, k1, b)
-    by_low = low_parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
-    high = terms.where("high")
-    high_parts = _scored(high, index, send, k1, b)
-    without_low = high.join(send(low.select("query_id").distinct()), "query_id", "left_anti")
-    rarest = without_low.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "q_idx"))).where("place = 1")
+    finds = ~F.col("high") if max_df is None else ~F.col("high") & (F.col("df") <= max_df)
+    terms = terms.withColumn("finds", finds).withColumn("rare", F.max("finds").over(Window.partitionBy("query_id"))).where(F.col("high") | F.col("finds"))
+    # queries with a rarer term: what is found by none goes where it was summed up
+    by_rare = _scored(terms.where("rare"), index, send, k1, b, ["finds"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.max("finds").alias("found"))
+    without = terms.where(~F.col("rare"))
+    rarest = without.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "q_idx"))).where("place = 1")
     seed_postings = index.postings.join(send(rarest.select("query_id", "bucket", "field", "term")), ["bucket", "field", "term"])
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("tf"), F.desc("doc_id")))
     by_seed = seed_postings.withColumn("place", best).where(F.col("place") <= seeds).select("query_id", "doc_id")
-    found = by_low.union(by_seed.withColumn("part", F.lit(0.0)))
-    more = high_parts.join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    return top(_summed(found.union(more)), k)
+    seeded = _scored(without, index, send, k1, b).join(by_seed, ["query_id", "doc_id"], "left_semi")
+    return top(by_rare.where("found").drop("found").union(_summed(seeded)), k)
 
 
 def idf_phrase(index: SearchIndex, queries: DataFrame, k: int | None = K) -> DataFrame:
@@ -186,9 +204,15 @@ def idf_phrase(index: SearchIndex, queries: DataFrame, k: int | None = K) -> Dat
     ordered = query.orderBy("q_idx")
     gated = known.withColumn("total", F.sum("weight").over(query)).withColumn("n", F.count("*").over(query)).withColumn("before", F.lag("field").over(ordered))
     gated = gated.select("query_id", "bucket", "field", "term", "q_idx", "weight", ((F.col("weight") < RARE) | (F.col("weight") < MEAN * F.col("total") / F.col("n"))).alias("high"), F.coalesce(F.col("before") == F.col("field"), F.lit(False)).alias("same"))
-    found = index.postings.join(send(gated), ["bucket", "field", "term"]).select("query_id", "doc_id", "q_idx", "weight", "high", "same", "first_pos")
+    # what each query may enter a document by, as a map of the document, so that postings of others are left before they meet their queries
+    hits, send = _hits(gated, index, send)
+    key = F.coalesce("query_id", F.lit(-(1 << 63)))
+    rare = gated.where(~F.col("high")).select("bucket", "field", "term", key.alias("key"), "q_idx")
+    firsts = hits.join(send(rare), ["bucket", "field", "term"]).groupBy("doc_id", "key").agg(F.min("q_idx").alias("enter"))
+    enters = firsts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "enter"))).alias("enters"))
+    entered = hits.join(enters if hits is index.postings else enters.hint("shuffle_hash"), "doc_id").join(send(gated), ["bucket", "field", "term"]).where(F.col("q_idx") >= F.try_element_at("enters", key))
+    entered = entered.select("query_id", "doc_id", "q_idx", "weight", "same", "first_pos")
     document = Window.partitionBy("query_id", "doc_id")
-    entered = found.withColumn("enter", F.min(F.when(~F.col("high"), F.col("q_idx"))).over(document)).where(F.col("q_idx") >= F.col("enter"))
     follows = F.col("same") & (F.col("first_pos") == F.lag("first_pos").over(document.orderBy("q_idx")) + 1)
     scored = entered.withColumn("part", F.col("weight") * F.when(F.coalesce(follows, F.lit(False)), 1 + PHRASE).otherwise(1.0))
     return top(_summed(scored), k)

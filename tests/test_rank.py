@@ -205,3 +205,25 @@ def test_memory_sources(spark):
         BM25(spark, documents=[])
     with pytest.raises(ValueError):
         BM25(spark, documents=["x"], search_cols=["none"])
+
+
+def test_scores_are_summed_where_the_documents_are(spark, monkeypatch):
+    """A stored index, whose postings go to the documents' tasks, gives what one that isn't stored gives; pairs of query and document aren't shuffled but for the best."""
+    monkeypatch.setattr(rank, "PAIRS", 300)
+    rng = random.Random(8)
+    word = lambda: f"w{min(int(rng.expovariate(0.15)), 40)}"
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randrange(30))), word()) for i in range(200)], "doc_id long, body string, title string")
+    plan = SearchIndex.build(docs, ["body", "title"])
+    stored = plan.stored()
+    texts = [(i, " ".join(word() for _ in range(6))) for i in range(20)] + [(None, "w30 w1 w2"), (50, "w0 w1"), (51, "w1 w0 w2")]
+    asked = rank.query_table(spark.createDataFrame(texts, "query_id long, text string"), plan.fields, boosts=[1.0, 2.0])
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
+    found = rank.bm25(stored, asked)
+    assert same(found, rank.bm25(plan, asked)) and same(rank.bm25(stored, asked, k=None), rank.bm25(plan, asked, k=None))
+    shuffled = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in shuffled and "Exchange hashpartitioning(doc_id#" in shuffled
+    assert not any("Exchange hashpartitioning(query_id#" in x and "doc_id#" in x.split("ENSURE")[0] for x in shuffled.splitlines())
+    for more in ({}, {"max_df": 12}, {"seeds": 3}):
+        assert same(rank.candidates(stored, asked, 0.1, **more), rank.candidates(plan, asked, 0.1, **more))
+    monkeypatch.setattr(rank, "RARE", 3.0)
+    assert same(rank.idf_phrase(stored, asked, 20), rank.idf_phrase(plan, asked, 20))
