@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import sketch_tokens
-from quarry.storage import BROADCAST_BYTES, small_parts
+from quarry.operators.rank import tasks_for_pairs
+from quarry.storage import BROADCAST_BYTES, new_folder, small_parts
 
 #: Bits of a block, in words of 32; eight blocks hold the same bits in other places, so one is stored and counts so often.
 BITS, WORD, BLOCKS = 128, 32, 8
 
 
 def bit_of(token: Column) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(BITS))
+    """The first 32 bits of the hash modulo BITS, which its seventh and eighth hexadecimal digits have."""
+    digit = lambda i: F.call_function("instr", F.lit("0123456789abcdef"), F.substring(F.md5(token), i, 1)).cast("long") - 1
+    return F.pmod(digit(7) * 16 + digit(8), F.lit(BITS))
 
 
 def signatures(parts: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -42,20 +45,31 @@ def queries(df: DataFrame, id_col: str = "query_id", text_col: str = "text") ->
 def overlap(docs: DataFrame, asked: DataFrame, boosts: dict[str, float] | None = None, k: int = 10, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, score): documents by the bits they share with the query, over all fields with their boosts.
 
-    Queries go to every task in blocks of so many bytes, so that no document is shuffled by a word, of which there are few.
+    The sketches are stored with all words of a field in a row. Queries go to every task in blocks of so many bytes; a task has so many documents that the pairs it scores and sorts are bounded.
     """
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "sketches")
+    _wide(docs, ("doc_id", "field"), "b").write.parquet(path)
+    stored, wanted = spark.read.parquet(path), _wide(asked, ("query_id",), "a")
+    number = stored.count()
     weight = F.lit(1.0)
     for field, boost in (boosts or {}).items():
         weight = F.when(F.col("field") == field, F.lit(float(boost))).otherwise(weight)
-    shared = F.bit_count(F.col("bits").bitwiseAND(F.col("asked"))).cast("long") * BLOCKS
+    shared = sum((F.bit_count(F.col(f"b{w}").bitwiseAND(F.col(f"a{w}"))) for w in range(BITS // WORD)), F.lit(0)).cast("long") * BLOCKS
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
 
     def best(part: DataFrame) -> DataFrame:
-        both = docs.join(part, "word")
-        scores = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight * shared), 4).alias("score")).where("score > 0")
+        placed = stored.repartition(tasks_for_pairs(spark, number, part.count()), "doc_id")
+        both = placed.join(part).select("query_id", "doc_id", (weight * shared).alias("part"))
+        scores = both.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 4).alias("score")).where("score > 0")
         return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
-    return reduce(DataFrame.union, map(best, small_parts(asked.withColumnRenamed("bits", "asked"), "query_id", limit)))
+    return reduce(DataFrame.union, map(best, small_parts(wanted, "query_id", limit)))
+
+
+def _wide(sketches: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """A row for each key, with all words; those without a bit are 0."""
+    words = (F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0).cast("long")).alias(f"{name}{w}") for w in range(BITS // WORD))
+    return sketches.groupBy(*key).agg(*words)
 
 
 def sign_words(vector: Column, dim: int) -> list[Column]:

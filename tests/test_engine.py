@@ -1,5 +1,6 @@
 """Names that clash, files that split, skewed terms, and tables too large to broadcast."""
 
+import hashlib
 import random
 
 import pytest
@@ -131,3 +132,21 @@ def test_csv_gives_back_odd_texts(spark, tmp_path, files):
     one = df.select(df.text).where("text is not null")
     sources.write_csv(one, str(tmp_path / "one.csv"))
     assert sorted(r.text for r in sources.read_csv(spark, str(tmp_path / "one.csv")).collect()) == sorted(t for t in texts if t is not None)
+
+
+def test_overlap_of_fields_is_summed_where_the_documents_are(spark, monkeypatch):
+    monkeypatch.setattr(rank, "PAIRS", 300)
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(4)), rng.choice(["a b", "", "c"])) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, title string")
+    asked = spark.createDataFrame([(i, t) for i, t, _ in docs[:9]] + [(100, "")], "query_id long, text string")
+    found = sketch.overlap(sketch.documents(df, ["text", "title"]), sketch.queries(asked), {"title": 2.5}, k=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id#" in plan and "hashpartitioning(word#" not in plan
+    assert not any("Exchange hashpartitioning(query_id#" in x and "doc_id#" in x.split("ENSURE")[0] for x in plan.splitlines())
+    bits = lambda t: {int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 128 for w in t.upper().split()}
+    expected = []
+    for q, t, _ in docs[:9]:
+        scores = sorted((-8 * (len(bits(t) & bits(x)) + 2.5 * len(bits(t) & bits(y))), d) for d, x, y in docs)
+        expected += [(q, n, d, -s) for n, (s, d) in enumerate(scores[:5], 1) if s]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
